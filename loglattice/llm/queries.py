@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loglattice.llm import fingerprint
+from loglattice.llm import fingerprint, secrets
 
-QUERIES = {"op2_multiset_fingerprints": fingerprint.op2}
-SQL = {"op2_multiset_fingerprints": fingerprint.OP2_SQL}
+QUERIES = {"op2_multiset_fingerprints": fingerprint.op2, "op3_secret_scan": secrets.op3}
+SQL = {"op2_multiset_fingerprints": fingerprint.OP2_SQL, "op3_secret_scan": secrets.OP3_SQL}
