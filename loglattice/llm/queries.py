@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loglattice.llm import fingerprint, repetition, secrets
+from loglattice.llm import fingerprint, repetition, secrets, toxicity
 
-QUERIES = {"op2_multiset_fingerprints": fingerprint.op2, "op3_secret_scan": secrets.op3, "op5_repetition_rules": repetition.op5}
+QUERIES = {"op2_multiset_fingerprints": fingerprint.op2, "op3_secret_scan": secrets.op3, "op5_repetition_rules": repetition.op5, "op8_toxicity": toxicity.op8}
 SQL = {"op2_multiset_fingerprints": fingerprint.OP2_SQL, "op3_secret_scan": secrets.OP3_SQL, "op5_repetition_rules": repetition.OP5_SQL}
