@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from loglattice.llm import fingerprint, repetition, secrets, toxicity
+from loglattice.llm import fingerprint, pieces, repetition, secrets, toxicity, urlrules
 
-QUERIES = {"op2_multiset_fingerprints": fingerprint.op2, "op3_secret_scan": secrets.op3, "op5_repetition_rules": repetition.op5, "op8_toxicity": toxicity.op8}
-SQL = {"op2_multiset_fingerprints": fingerprint.OP2_SQL, "op3_secret_scan": secrets.OP3_SQL, "op5_repetition_rules": repetition.OP5_SQL}
+QUERIES = {
+    "op2_multiset_fingerprints": fingerprint.op2,
+    "op3_secret_scan": secrets.op3,
+    "op5_repetition_rules": repetition.op5,
+    "op7_url_rules": urlrules.op7,
+    "op8_toxicity": toxicity.op8,
+    "op9_sentencepiece": pieces.op9,
+}
+SQL = {
+    "op2_multiset_fingerprints": fingerprint.OP2_SQL,
+    "op3_secret_scan": secrets.OP3_SQL,
+    "op5_repetition_rules": repetition.OP5_SQL,
+    "op7_url_rules": urlrules.OP7_SQL,
+}
