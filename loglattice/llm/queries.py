@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loglattice.llm import fingerprint, pieces, repetition, secrets, toxicity, urlrules
+from loglattice.llm import fingerprint, packing, pieces, repetition, secrets, toxicity, urlrules
 
 QUERIES = {
     "op2_multiset_fingerprints": fingerprint.op2,
     "op3_secret_scan": secrets.op3,
     "op5_repetition_rules": repetition.op5,
+    "op6_best_fit_packing": packing.op6,
     "op7_url_rules": urlrules.op7,
     "op8_toxicity": toxicity.op8,
     "op9_sentencepiece": pieces.op9,

@@ -1,0 +1,47 @@
+"""Open-addressing index from 64-bit hashes to consecutive numbers, looked up and extended for whole arrays."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+class WordIndex:
+    def __init__(self, bits: int = 22):
+        self.bits, self.mask, self.count = bits, (1 << bits) - 1, 0
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    @property
+    def full(self) -> bool:
+        """Beyond a third of its places; the owner then starts a new one."""
+        return self.count > len(self.keys) // 3
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the keys, -1 for unknown ones."""
+        at = self._home(keys)
+        out = self.numbers[at]
+        rest = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & self.mask
+            held = self.numbers[at]
+            out[rest] = held
+            on = (held >= 0) & (self.keys[at] != keys[rest])
+            rest, at = rest[on], at[on]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Give new distinct keys the next numbers."""
+        numbers = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+        self.count += len(keys)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.numbers[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.numbers[at[free]] = keys[left[free]], numbers[left[free]]
+            stay = np.ones(len(left), bool)
+            stay[free] = False
+            left, at = left[stay], (at[stay] + 1) & self.mask
+        return numbers
