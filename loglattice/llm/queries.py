@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loglattice.llm import fingerprint, packing, pieces, repetition, secrets, toxicity, urlrules
+from loglattice.llm import fingerprint, minhash, packing, pieces, repetition, secrets, toxicity, urlrules
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1,
     "op2_multiset_fingerprints": fingerprint.op2,
     "op3_secret_scan": secrets.op3,
     "op5_repetition_rules": repetition.op5,
