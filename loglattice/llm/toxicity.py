@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglattice.llm.common import written
 from loglattice.llm.flat import chunks, flat
 
 BITS, SIZES = 18, (3, 4, 5)
@@ -85,28 +86,24 @@ def presences(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None =
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(slots: list[np.ndarray], toxic: np.ndarray, least_df: int = 4, least_ratio: float = 1.0, penalty: float = 0.05, rounds: int = 300, positive_weight: float = 6.0) -> Model:
-    """Log-count ratios, then logistic regression on the scaled presences by gradient steps with momentum."""
-    size, n, positives = 1 << BITS, len(toxic), int(toxic.sum())
-    if positives in (0, n):
-        share = (positives + 1) / (n + 2)
-        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    of = np.repeat(np.arange(n), [len(s) for s in slots])
-    slot = np.concatenate(slots).astype(np.int64)
-    in_toxic = np.bincount(slot[toxic[of] == 1], minlength=size) + 1.0
-    in_clean = np.bincount(slot[toxic[of] == 0], minlength=size) + 1.0
-    ratio = np.log(in_toxic / (positives + 2)) - np.log(in_clean / (n - positives + 2))
-    used = (in_toxic + in_clean - 2 >= least_df) & (np.abs(ratio) >= least_ratio)
+def ratios(in_toxic: np.ndarray, in_clean: np.ndarray, positives: int, n: int, least_df: int, least_ratio: float) -> np.ndarray:
+    """Log ratio of each slot's smoothed shares in toxic and clean texts; 0 for slots that are left out."""
+    ratio = np.log((in_toxic + 1) / (positives + 2)) - np.log((in_clean + 1) / (n - positives + 2))
+    return np.where((in_toxic + in_clean >= least_df) & (np.abs(ratio) >= least_ratio), ratio, 0.0)
+
+
+def fit(slots: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, penalty: float = 0.05, rounds: int = 300, positive_weight: float = 6.0) -> Model:
+    """Logistic regression on presences scaled by the ratios, by gradient steps with momentum."""
+    n, positives = len(toxic), int(toxic.sum())
+    used = ratio != 0
     number = np.cumsum(used) - 1
-    keep = used[slot]
-    of, column = of[keep], number[slot[keep]]
+    of = np.repeat(np.arange(n), [len(s) for s in slots])
+    column = number[np.concatenate([np.zeros(0, np.int64), *slots]).astype(np.int64)]
     scale = ratio[used]
-    x = scale[column]
-    m = len(scale)
+    x, m = scale[column], len(scale)
     weight = np.where(toxic == 1, positive_weight, 1.0)
     w, velocity, b, b_velocity = np.zeros(m), np.zeros(m), float(np.log(positives / (n - positives))), 0.0
-    reach = max(np.bincount(of, x * x, n).mean(), 1.0)
-    rate = 2.0 / reach
+    rate = 2.0 / max(np.bincount(of, x * x, n).mean(), 1.0)
     for _ in range(rounds):
         z = np.bincount(of, x * w[column], n) + b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * weight
@@ -114,7 +111,7 @@ def fit(slots: list[np.ndarray], toxic: np.ndarray, least_df: int = 4, least_rat
         velocity = 0.9 * velocity - rate * gradient
         b_velocity = 0.9 * b_velocity - 0.5 * error.mean()
         w, b = w + velocity, b + b_velocity
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(len(ratio), np.float32)
     weights[used] = w * scale
     return Model(weights, b)
 
@@ -132,16 +129,45 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([slot[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["doc_id", "toxic", "slots"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from at most max_rows labelled rows that aren't held out; their ids, texts and features are bounded by that."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts per slot and label, summed within a task."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        for toxic, blob in zip(batch.column("toxic").to_pylist(), batch.column("slots")):
+            counts[1 if toxic else 0][np.frombuffer(blob.as_buffer(), "<u4")] += 1
+    at = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1][at]), pa.array(counts[0][at])], names=["slot", "toxic", "clean"])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, least_df: int = 4, least_ratio: float = 1.0) -> Model:
+    """Learn from at most max_rows labelled rows that aren't held out.
+
+    Their features are counted on the executors; the driver gets a row per slot
+    and, for each text, only the slots that the counts have left.
+    """
     per_doc = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = per_doc.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_features, "doc_id long, toxic int, slots binary").toArrow()
-    ids = np.array(rows["doc_id"], dtype=np.int64)
-    order = np.argsort(ids, kind="stable")
-    order = order[np.r_[True, np.diff(ids[order]) != 0]] if len(order) else order
-    blobs = rows["slots"]
-    return fit([np.frombuffer(blobs[int(i)].as_py(), "<u4") for i in order], np.array(rows["toxic"], dtype=np.int64)[order])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = written(texts.mapInArrow(_features, "doc_id long, toxic int, slots binary"), "labelled")
+    n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    empty = np.zeros(1 << BITS)
+    if positives in (0, n):
+        share = (positives + 1) / (n + 2)
+        return Model(empty.astype(np.float32), float(np.log(share / (1 - share))))
+    counts = rows.mapInArrow(_counted, "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    in_toxic, in_clean = empty.copy(), empty.copy()
+    slot = counts["slot"].to_numpy()
+    in_toxic[slot], in_clean[slot] = counts["toxic"].to_numpy(), counts["clean"].to_numpy()
+    ratio = ratios(in_toxic, in_clean, positives, n, least_df, least_ratio)
+    used = ratio != 0
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [np.frombuffer(b.as_buffer(), "<u4") for b in batch.column("slots")]
+            yield batch.set_column(2, "slots", pa.array([s[used[s]].tobytes() for s in slots], pa.binary()))
+
+    left = rows.mapInArrow(kept, rows.schema).toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(b.as_buffer(), "<u4") for b in left["slots"]], left["toxic"].to_numpy().astype(np.int64), ratio)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
