@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loglattice.llm import fingerprint, minhash, packing, pieces, repetition, secrets, toxicity, urlrules
+from loglattice.llm import fingerprint, minhash, packing, pieces, repetition, secrets, suffix, toxicity, urlrules
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_url_rules": urlrules.op7,
     "op8_toxicity": toxicity.op8,
     "op9_sentencepiece": pieces.op9,
+    "op10_suffix_dedup": suffix.op10,
 }
 SQL = {
     "op2_multiset_fingerprints": fingerprint.OP2_SQL,
