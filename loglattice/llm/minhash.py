@@ -136,7 +136,7 @@ def _signatures(s: Settings) -> Callable:
                 v = pa.array([raw[16 * i : 16 * i + 16] if n else None for i, n in enumerate(sizes)], pa.binary())
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, s.bands, 0))]).astype(np.int32)), pa.array(keys.ravel()))
                 sig = pa.array([bits[p].tobytes() if p >= 0 else None for p in place], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), v, bands, sig], names=["doc_id", "n_shingles", "v", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sizes.astype(np.int64)), v, bands, sig], names=["doc_id", "text_hash", "n_shingles", "v", "bands", "sig"])
 
     return run
 
@@ -267,10 +267,10 @@ def _confirm(percent: int) -> Callable:
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every row of docs."""
     spark = docs.sparkSession
     low = s.percent / 100 - s.margin
-    all_docs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(s), "doc_id long, n_shingles long, v binary, bands array<long>, sig binary"), "signatures")
+    all_docs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signatures(s), "doc_id long, text_hash long, n_shingles long, v binary, bands array<long>, sig binary"), "signatures")
     classes = all_docs.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
     banded = classes.select("v", F.explode("bands").alias("key"))
@@ -315,9 +315,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     named = classes.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = named.join(least, "label").select("v", "component_id")
-    out = all_docs.select("doc_id", "n_shingles", "v").join(by_class, "v", "left")
+    out = all_docs.select("doc_id", "text_hash", "n_shingles", "v").join(by_class, "v", "left")
     component = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def _full_sets(docs: DataFrame, all_docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
