@@ -68,21 +68,23 @@ def signatures(values: DataFrame, value: str) -> DataFrame:
 
 
 def split_pattern(value, pattern: str):
-    """Parts of a value around the pattern's delimiters, each taken at its next occurrence; delimiters are not kept in parts."""
-    rest, out = value, []
-    for d in pattern:
-        at = F.instr(rest, d)
-        out.append((rest, at, d))
-        rest = F.when(at > 0, F.substr(rest, at + 1, F.length(rest)))
-    parts = [F.substr(r, F.lit(1), at - 1) for r, at, _ in out]
-    return F.array(*parts, rest)
+    """Parts of a value around the pattern's delimiters, each taken at its next occurrence; delimiters are not kept in parts.
+
+    A delimiter that is missing gives an empty part and leaves the rest as it is.
+    """
+    start = F.struct(value.alias("rest"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc, d):
+        at = F.instr(acc["rest"], d)
+        part = F.substr(acc["rest"], F.lit(1), F.greatest(at - 1, F.lit(0)))
+        return F.struct(F.when(at > 0, F.substr(acc["rest"], at + 1, F.length(acc["rest"]))).otherwise(acc["rest"]).alias("rest"), F.array_append(acc["parts"], part).alias("parts"))
+
+    return F.aggregate(F.array(*map(F.lit, pattern)), start, step, lambda acc: F.array_append(acc["parts"], acc["rest"]))
 
 
 def joined_pattern(parts, pattern: str):
-    pieces = []
-    for i, d in enumerate(pattern):
-        pieces += [F.get(parts, F.lit(i)), F.lit(d)]
-    return F.concat(*pieces, F.get(parts, F.lit(len(pattern))))
+    """Parts and delimiters interleaved again."""
+    return F.array_join(F.zip_with(parts, F.array(*map(F.lit, pattern), F.lit("")), lambda p, d: F.concat(p, d)), "")
 
 
 def string_lcs(a: str, b: str) -> str:
