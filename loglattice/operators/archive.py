@@ -144,7 +144,7 @@ ENCODED = "block_id long, scope string, eid int, col int, n long, raw_bytes long
 def encoded_columns(cols: DataFrame, kernel: str = "lzma", split: bool = True, share: float = DISTINCT_SHARE) -> DataFrame:
     """(block_id, scope, eid, col, n, raw_bytes, meta, payload), one row per column of a block."""
 
-    def encode(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("pos").value.tolist()
         meta, payload = encode_column(values, split, share, kernel)
         return pd.DataFrame([(*key, len(values), sum(len(v.encode()) + 1 for v in values), meta, payload)], columns=["block_id", "scope", "eid", "col", "n", "raw_bytes", "meta", "payload"])

@@ -16,7 +16,7 @@ def read_lines(spark: SparkSession, path: str, charset: str = "utf-8") -> DataFr
     block. Other charsets are decoded file by file.
     """
     if charset.lower() not in ("utf-8", "utf8", "us-ascii"):
-        text = spark.read.format("binaryFile").load(path).select(F.col("path").alias("src"), F.decode("content", F.lit(charset)).alias("t"))
+        text = spark.read.format("binaryFile").load(path).select(F.col("path").alias("src"), F.decode("content", charset).alias("t"))
         text = text.select("src", F.posexplode(F.split(F.regexp_replace("t", "\\r?\\n$", ""), "\\r?\\n")).alias("rec_no", "line"))
         return text.select("src", F.col("rec_no").cast("long").alias("rec_no"), F.floor(F.col("rec_no") / BLOCK_LINES).alias("block_id"), "line")
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
