@@ -17,7 +17,8 @@ words, file paths and words joined by - or _), and those that overlap a base
 span.
 
 Cases: null text counts as empty and gives no spans and the digest of the
-empty string. Rows are kept one to one, repeated rows included; texts of any
+empty string. `scan` replaces columns of its own names (base, added, spans, _text,
+_assign, _access, _hex, _found); `redact` keeps all. Rows are kept one to one, repeated rows included; texts of any
 length are scanned whole. Positions are code points, ends exclusive.
 """
 
@@ -109,7 +110,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every span of its texts replaced by [kind]; overlapping spans give one mark, that of the first."""
     names = F.array(*map(F.lit, KINDS))
-    done = scan(df, text)
+    done = scan(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_body")), "_body")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -118,7 +119,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr("_text", (acc["at"] + 1).cast("int"), F.length("_text"))))
-    return done.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*df.columns)
+    return done.select(*[(F.when(F.size("spans") > 0, clean).otherwise(F.col("_body")) if c == text else F.col("_row")[c]).alias(c) for c in df.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
