@@ -10,13 +10,14 @@
    signatures (bit counts of their exclusive or) estimates the similarity,
    corrected for chance agreement of 4 bits.
 4. Links are confirmed on the full sets. Not all pairs are listed: a bucket
-   proposes a maximum spanning forest of the estimates; the confirmed links
-   give components; then only pairs between different components whose
-   estimate is within the margin of error are proposed, first each member's
-   best, at last all that remain. A component is found without any of its
-   inner pairs, and no link between components is lost but by an estimate off
-   by more than `margin` (over 4.5 standard deviations) or bands that miss
-   (less than one in a million at the threshold).
+   proposes a maximum spanning forest of the estimates, whose confirmed links
+   give components. Where a bucket then still has several components, the
+   members outside its largest one are compared with all others of the bucket
+   on the full sets within a task, and only links that join two components
+   leave it. A component is found without its inner pairs, and no link between
+   components is lost but by an estimate off by more than `margin` (over 4.5
+   standard deviations) or bands that miss (less than one in a million at the
+   threshold).
 5. Buckets of more than BLOCK members are dealt to blocks; to the other blocks
    go only members outside the bucket's largest component (at first the
    smallest member alone), so a hot bucket costs no quadratic work once it has
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import written
@@ -186,7 +187,7 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (1 - differ / PERMUTATIONS - chance) / (1 - chance)
 
 
-def spanning(sig: np.ndarray, home: np.ndarray, low: float) -> list[tuple[int, int]]:
+def spanning(sig: np.ndarray, low: float) -> list[tuple[int, int]]:
     """Maximum spanning forest (edges of at least low) over the members, grown from the first that is left."""
     n = len(sig)
     best, link = np.full(n, -1.0), np.full(n, -1)
@@ -204,38 +205,51 @@ def spanning(sig: np.ndarray, home: np.ndarray, low: float) -> list[tuple[int, i
     return out
 
 
-def between(sig: np.ndarray, label: np.ndarray, home: np.ndarray, low: float, most: int | None) -> list[tuple[int, int]]:
-    """Pairs of members with different labels and an estimate of at least low, a resident's best `most` or all."""
+def items_of(blob: bytes) -> np.ndarray:
+    """The 48-bit hashes of a set, sorted."""
+    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
+
+
+def joined(sig: np.ndarray, label: np.ndarray, loose: np.ndarray, sets: list[np.ndarray], low: float, percent: int) -> list[tuple[int, int]]:
+    """Links that join different labels within a bucket's block: each loose member against all others, on the full sets.
+
+    Members that no other label comes near by the estimate are passed over. The
+    sizes of a member's intersections with all others come from one count over
+    the block's postings; only links that merge two labels are returned.
+    """
+    sizes = np.array([len(x) for x in sets])
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by_word = np.argsort(place, kind="stable")
+    posting, first = owner[by_word], np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(words)))])
+    ends = np.cumsum(sizes)
     out = []
-    for i in np.flatnonzero(home):
-        e = np.where(label != label[i], estimates(sig[i], sig), -1.0)
-        near = np.flatnonzero(e >= low)
-        if most is not None and len(near) > most:
-            near = near[np.argsort(-e[near], kind="stable")[:most]]
-        out += [(int(i), int(j)) for j in near]
+    for i in np.flatnonzero(loose):
+        if not ((label != label[i]) & (estimates(sig[i], sig) >= low)).any():
+            continue
+        own = place[ends[i] - sizes[i] : ends[i]]
+        counts = first[own + 1] - first[own]
+        index = np.repeat(first[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        same = np.bincount(posting[index], minlength=len(sets))
+        linked = 100 * same >= percent * (sizes + sizes[i] - same)
+        for j in np.flatnonzero(linked & (label != label[i])):
+            if label[j] != label[i]:
+                out.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
     return out
 
 
-def _proposals(low: float, mode: str) -> Callable:
+def _proposals(low: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g"):
             g = table["g"].to_numpy()
-            v, home = table["v"].to_pylist(), table["home"].to_numpy(zero_copy_only=False)
+            v = table["v"].to_pylist()
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(len(v), -1)
-            labels = table["label"].to_pylist()
             edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
             a, b = [], []
             for s, t in zip(edge.tolist(), edge[1:].tolist()):
-                if t - s < 2:
-                    continue
-                if mode == "forest":
-                    pairs = spanning(sig[s:t], home[s:t], low)
-                else:
-                    number = {x: i for i, x in enumerate(dict.fromkeys(labels[s:t]))}
-                    if len(number) < 2:
-                        continue
-                    pairs = between(sig[s:t], np.array([number[x] for x in labels[s:t]]), home[s:t], low, 8 if mode == "best" else None)
-                for i, j in pairs:
+                for i, j in spanning(sig[s:t], low) if t - s > 1 else []:
                     x, y = v[s + i], v[s + j]
                     a.append(min(x, y))
                     b.append(max(x, y))
@@ -244,16 +258,30 @@ def _proposals(low: float, mode: str) -> Callable:
     return run
 
 
-def _confirm(percent: int) -> Callable:
-    def items(blob: bytes) -> np.ndarray:
-        six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-        return np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
+def _joining(low: float, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "g"):
+            g = table["g"].to_numpy()
+            edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+            for s, t in zip(edge.tolist(), edge[1:].tolist()):
+                part = table.slice(s, t - s)
+                v, labels = part["v"].to_pylist(), part["label"].to_pylist()
+                number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+                if len(number) < 2:
+                    continue
+                sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint64).reshape(len(v), -1)
+                pairs = joined(sig, np.array([number[x] for x in labels]), part["loose"].to_numpy(zero_copy_only=False), [items_of(x) for x in part["items"].to_pylist()], low, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([v[i] for i, _ in pairs], pa.binary()), pa.array([v[j] for _, j in pairs], pa.binary())], names=["a", "b"])
+
+    return run
 
+
+def _confirm(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                one, two = items(x.as_py()), items(y.as_py())
+                one, two = items_of(x.as_py()), items_of(y.as_py())
                 small, large = min(len(one), len(two)), max(len(one), len(two))
                 if 100 * small < percent * large:
                     keep.append(False)
@@ -279,39 +307,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = written(banded.join(buckets, "key").join(classes.select("v", "sig"), "v").select("key", "v", "sig", "least", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "members")
     own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
 
-    def propose(placed: DataFrame, mode: str) -> DataFrame:
-        keyed = placed.withColumn("g", F.xxhash64("key", "block"))
-        rows = keyed.select("g", "v", "sig", "label", "home").repartition("g").sortWithinPartitions("g", "v")
-        return rows.mapInArrow(_proposals(low, mode), "a binary, b binary").distinct()
-
-    def dealt(rows: DataFrame, visits) -> DataFrame:
+    def dealt(rows: DataFrame, visits: Column, *more: str) -> DataFrame:
+        """g: the member's own block of its bucket and, for visitors, every other block."""
         others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))
-        here = F.array(F.struct(F.col("own").alias("block"), F.lit(True).alias("home")))
-        away = F.transform(others, lambda k: F.struct(k.alias("block"), F.lit(False).alias("home")))
-        both = rows.withColumn("own", own).withColumn("p", F.explode(F.when(visits & (F.col("blocks") > 1), F.concat(here, away)).otherwise(here)))
-        return both.select("key", "v", "sig", "label", F.col("p.block").alias("block"), F.col("p.home").alias("home"))
+        at = F.when(visits & (F.col("blocks") > 1), F.concat(F.array("own"), others)).otherwise(F.array("own"))
+        return rows.withColumn("own", own).withColumn("block", F.explode(at)).select(F.xxhash64("key", "block").alias("g"), "v", "sig", *more).repartition("g").sortWithinPartitions("g", "v")
 
-    pairs = written(propose(dealt(members.withColumn("label", F.col("v")), F.col("v") == F.col("least")), "forest"), "pairs")
+    pairs = dealt(members, F.col("v") == F.col("least")).mapInArrow(_proposals(low), "a binary, b binary").distinct()
     sets = _full_sets(docs, all_docs, members, s)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x, y = sets.select(F.col("v").alias("a"), F.col("items").alias("x")), sets.select(F.col("v").alias("b"), F.col("items").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(s.percent), "a binary, b binary")
-
-    links = written(confirmed(pairs), "confirmed")
+    x, y = sets.select(F.col("v").alias("a"), F.col("items").alias("x")), sets.select(F.col("v").alias("b"), F.col("items").alias("y"))
+    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(s.percent), "a binary, b binary"), "confirmed")
     labels = components(links)
-    for mode in ("best", "rest"):
-        labelled = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).filter("parts > 1")
-        open_ = labelled.join(sizes, "key")
-        more = written(propose(dealt(open_, F.col("label") != F.col("main")), mode).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        found = written(confirmed(more), "confirmed")
-        pairs = pairs.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+
+    labelled = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    main = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).filter("parts > 1").select("key", "main")
+    loose = labelled.join(main, "key").withColumn("loose", F.col("label") != F.col("main")).join(sets, "v")
+    more = written(dealt(loose, F.col("loose"), "label", "loose", "items").mapInArrow(_joining(low, s.percent), "a binary, b binary"), "joining")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     named = classes.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = named.join(least, "label").select("v", "component_id")
