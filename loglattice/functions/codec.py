@@ -104,7 +104,7 @@ def _zstd(level: int):
     return zstandard.ZstdCompressor(level=level).compress
 
 
-KERNELS = {"gzip": lambda b: zlib.compress(b, 9, 31), "bzip2": lambda b: bz2.compress(b, 9), "lzma": lambda b: lzma.compress(b), "zstd": lambda b: _zstd(19)(b), "none": bytes}
+KERNELS = {"gzip": lambda b: zlib.compress(b, 9, 31), "bzip2": lambda b: bz2.compress(b, 9), "lzma": lambda b: lzma.compress(b, format=lzma.FORMAT_ALONE, preset=9), "zstd": lambda b: _zstd(19)(b), "none": bytes}
 UNPACK = {"gzip": lambda b: zlib.decompress(b, 31), "bzip2": bz2.decompress, "lzma": lzma.decompress, "zstd": lambda b: __import__("zstandard").ZstdDecompressor().decompress(b), "none": bytes}
 
 

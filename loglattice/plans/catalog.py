@@ -323,10 +323,16 @@ def codec_roundtrip(spark, d):
     return out
 
 
+def message_templates(spark, log: DataFrame) -> DataFrame:
+    """Templates of what follows the header, as a small local table (at most MAX_TEMPLATES rows)."""
+    content = log.withColumn("line", F.regexp_replace("line", f"^(?:[^ \\t|]+[ \\t|]+){{{HEAD}}}", ""))
+    return spark.createDataFrame(T.templates_of(content).collect(), "eid int, tokens array<string>, n_tokens int, slots array<int>, support long, text string")
+
+
 @query()
 def archive_sizes(spark, d):
     log = with_blocks(lines(spark, d))
-    return Q.archive_sizes(log, T.templates_of(log), HEAD, ["lzma", "gzip", "bzip2", "zstd"])
+    return Q.archive_sizes(log, message_templates(spark, log), HEAD, ["lzma", "gzip", "bzip2", "zstd"])
 
 
 @query()
@@ -337,7 +343,7 @@ def codec_baseline(spark, d):
 @query(f"with {LINES_SQL} select 0::bigint as block_id, rec_no, line from lines".replace("0::bigint", "(rec_no // 100000)::bigint"))
 def restore_lines(spark, d):
     log = with_blocks(lines(spark, d))
-    templates = spark.createDataFrame(T.templates_of(log.withColumn("line", F.regexp_replace("line", f"^(?:[^ \\t|]+[ \\t|]+){{{HEAD}}}", ""))).collect(), "eid int, tokens array<string>, n_tokens int, slots array<int>, support long, text string")
+    templates = message_templates(spark, log)
     encoded, failed = A.compressed(log, templates, HEAD, "zstd")
     return A.restored(encoded, failed, templates)
 
