@@ -36,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import id_buckets, scratch_path
+from loglattice.llm.common import id_buckets, scratch_path, written
 
 LEAST_REVISIT = 100
 FILE_BYTES = 32 << 20
+MAX_BROADCAST_DIGESTS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string"
 
@@ -75,11 +76,16 @@ def member(raw: bytes) -> bytes:
 
 
 def classified(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """page_id, url, payload (null for revisits), size, digest, kind, refers_to."""
+    """page_id, url, payload (null for revisits), size, digest, kind, refers_to.
+
+    Digests of several records are a narrow table: broadcast while they are few,
+    so that payloads are not shuffled here, and joined by a shuffle beyond that.
+    """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
     first = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
+    first = written(first, "first")
+    joined = rows.join(F.broadcast(first) if first.count() <= MAX_BROADCAST_DIGESTS else first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -179,8 +185,9 @@ def read(manifest: DataFrame, folder: str, contents: bool = True) -> DataFrame:
 def op4(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = scratch_path(spark, "warc")
-    manifest = write(classified(pages), folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    files = manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = write(classified(pages), folder, 4 * n)
+    files = manifest.repartition(n)
     return read(files, folder, contents=False).drop("url")
 
 
