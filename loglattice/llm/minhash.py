@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm.common import written
 from loglattice.llm.components import components
-from loglattice.llm.flat import Hashes, chunks, flat, mixed, words_of
+from loglattice.llm.flat import Hashes, Lean, chunks, flat, mixed, words_of
 
 PERMUTATIONS, LOW_BITS, BLOCK = 128, 4, 2048
 #: Sets are at most so many in a broadcast list of ids; beyond that the join is shuffled.
@@ -298,12 +298,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every row of docs."""
     spark = docs.sparkSession
     low = s.percent / 100 - s.margin
-    all_docs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signatures(s), "doc_id long, text_hash long, n_shingles long, v binary, bands array<long>, sig binary"), "signatures")
+    all_docs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(Lean(_signatures(s)), "doc_id long, text_hash long, n_shingles long, v binary, bands array<long>, sig binary"), "signatures")
     classes = all_docs.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
     banded = classes.select("v", F.explode("bands").alias("key"))
     counts = banded.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(v))").alias("who"), F.min("v").alias("least")).filter("n > 1")
-    buckets = counts.groupBy("n", "who").agg(F.min("key").alias("key"), F.first("least").alias("least"))
+    # written first: a join of two plain shuffles lets adaptive execution split the rows of a hot bucket
+    buckets = written(counts.groupBy("n", "who").agg(F.min("key").alias("key"), F.first("least").alias("least")), "buckets")
     members = written(banded.join(buckets, "key").join(classes.select("v", "sig"), "v").select("key", "v", "sig", "least", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "members")
     own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
 
@@ -313,16 +314,16 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         at = F.when(visits & (F.col("blocks") > 1), F.concat(F.array("own"), others)).otherwise(F.array("own"))
         return rows.withColumn("own", own).withColumn("block", F.explode(at)).select(F.xxhash64("key", "block").alias("g"), "v", "sig", *more).repartition("g").sortWithinPartitions("g", "v")
 
-    pairs = dealt(members, F.col("v") == F.col("least")).mapInArrow(_proposals(low), "a binary, b binary").distinct()
+    pairs = dealt(members, F.col("v") == F.col("least")).mapInArrow(Lean(_proposals(low)), "a binary, b binary").distinct()
     sets = _full_sets(docs, all_docs, members, s)
     x, y = sets.select(F.col("v").alias("a"), F.col("items").alias("x")), sets.select(F.col("v").alias("b"), F.col("items").alias("y"))
-    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(s.percent), "a binary, b binary"), "confirmed")
+    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(Lean(_confirm(s.percent)), "a binary, b binary"), "confirmed")
     labels = components(links)
 
     labelled = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    main = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).filter("parts > 1").select("key", "main")
+    main = written(labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).filter("parts > 1").select("key", "main"), "main")
     loose = labelled.join(main, "key").withColumn("loose", F.col("label") != F.col("main")).join(sets, "v")
-    more = written(dealt(loose, F.col("loose"), "label", "loose", "items").mapInArrow(_joining(low, s.percent), "a binary, b binary"), "joining")
+    more = written(dealt(loose, F.col("loose"), "label", "loose", "items").mapInArrow(Lean(_joining(low, s.percent)), "a binary, b binary"), "joining")
     if not more.isEmpty():
         labels = components(links.union(more))
     named = classes.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
@@ -339,7 +340,7 @@ def _full_sets(docs: DataFrame, all_docs: DataFrame, members: DataFrame, s: Sett
     wanted = written(wanted, "wanted")
     side = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side.select(F.col("doc_id").alias("_d"), "v"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("v", "text")
-    return written(texts.groupBy("v").agg(F.min("text").alias("text")).mapInArrow(_sets(s.words), "v binary, items binary"), "sets")
+    return written(texts.groupBy("v").agg(F.min("text").alias("text")).mapInArrow(Lean(_sets(s.words)), "v binary, items binary"), "sets")
 
 
 CONTRACT = Settings(words=3, percent=85, rows=5, bands=25, margin=0.15)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm.bytebpe import ByteBpe
 from loglattice.llm.common import written
-from loglattice.llm.flat import chunks, flat
+from loglattice.llm.flat import Lean, chunks, flat
 
 CAPACITY, SEPARATOR = 2048, 0
 NODES = 4_000
@@ -73,7 +73,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: i
                     columns, names = [*columns, pa.array(blobs, pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * real)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(Lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * real)
 
 
 def filling(room: int, longest: int, counts: list[int]) -> list[int]:
@@ -195,7 +195,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, n_buckets: int = 64) ->
             slot = np.searchsorted(table["key"], key, "right") - 1
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(table["sequence"][slot] + key - table["key"][slot]), pa.array(table["offset"][slot])], names=[*names, "sequence_id", "offset"])
 
-    return given.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields], "sequence_id long", "offset long"]))
+    return given.mapInArrow(Lean(run), ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields], "sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, real: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loglattice.llm.flat import Hashes, chunks, flat
+from loglattice.llm.flat import Hashes, Lean, chunks, flat
 
 NONE = np.int32(2**31 - 1)
 SPACE = "▁"
@@ -295,7 +295,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", real: bool = True) ->
                     columns += [pa.array([np.array(i.split(), np.int32) for _, i, _ in rows], pa.list_(pa.int32())), pa.array([d.decode() for _, _, d in rows])]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in rest], *columns], names=[*[f.name for f in rest], *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(Lean(run), schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

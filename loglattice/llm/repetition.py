@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loglattice.llm.flat import Hashes, chunks, covered, flat, mixed, repeats, totals, words_of
+from loglattice.llm.flat import Hashes, Lean, chunks, covered, flat, mixed, repeats, totals, words_of
 
 #: Largest share of characters in n-grams that occurred earlier, by n, and in lines that did.
 LIMITS, LINE_LIMIT = {5: 0.15, 7: 0.13, 10: 0.10}, 0.20
@@ -100,7 +100,7 @@ def rules(df: DataFrame, text: str = "text") -> DataFrame:
                 failed, kept = verdicts(m)
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in rest], *[pa.array(m[c].astype(np.int64)) for c in COUNTS], pa.array(failed), pa.array(kept)], names=[*[f.name for f in rest], *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(Lean(run), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ another place, in the same text or another one.
 
 Cases: null and empty texts and those under 200 bytes keep everything; of
 equal texts of 200 bytes or more nothing stays in any copy; repeated rows and
-tied doc_ids are places like others. Texts are never cut. The kept bytes can
+tied doc_ids are places like others. Extra columns pass through, those with
+the names of results (kept, n_bytes, n_removed, n_spans, kept_sha256) or of
+inner columns (k1, k2, starts, sizes) are replaced. Texts are never cut. The kept bytes can
 break a UTF-8 sequence: `kept` is binary, `text` drops such fragments.
 """
 
@@ -39,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import written
-from loglattice.llm.flat import Hashes, chunks, flat, mixed
+from loglattice.llm.flat import Hashes, Lean, chunks, flat, mixed
 
 WIDTH, ANCHOR = 200, 64
-SPLIT = 4_000
-SHARD_BYTES = 1 << 20
+SPLIT = 1_000
+SHARD_BYTES = 1 << 18
 RANGES = 64
 MAX_BROADCAST_KEYS = 500_000
 
@@ -294,9 +296,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, start, n): runs of n repeated windows in the texts of a key; and the texts of the keys concerned."""
     spark = keyed.sparkSession
-    rows = written(keyed.select("k1", "k2", "text").filter(F.octet_length("text") >= WIDTH).mapInArrow(_windows, "k1 long, k2 long, start long, n int, anchor long, one long, two long"), "windows")
+    rows = written(keyed.select("k1", "k2", "text").filter(F.octet_length("text") >= WIDTH).mapInArrow(Lean(_windows), "k1 long, k2 long, start long, n int, anchor long, one long, two long"), "windows")
     anchors = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.min("one").alias("lo"), F.max("one").alias("hi"), F.min("two").alias("lo2"), F.max("two").alias("hi2")).filter("c > 1")
-    again = written(rows.join(anchors.select("anchor", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("alike")), "anchor"), "again")
+    # written first: then both sides of the join are plain shuffles, and adaptive execution splits the rows of a hot anchor
+    anchors = written(anchors.select("anchor", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("alike")), "anchors")
+    again = written(rows.join(anchors, "anchor"), "again")
     touched = written(again.select("k1", "k2").distinct(), "touched")
     texts = keyed.join(F.broadcast(touched) if touched.count() <= MAX_BROADCAST_KEYS else touched, ["k1", "k2"])
     texts = written(texts, "texts")
@@ -314,27 +318,28 @@ def repeated_spans(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     located = placed.select("anchor", "split", "c", shard.alias("g"), F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.col("at.start").alias("start"), F.col("at.n").alias("n"))
     pieces = texts.select("k1", "k2", F.col("text").cast("binary").alias("raw")).dropDuplicates(["k1", "k2"])
     segments = located.join(pieces, ["k1", "k2"]).select("g", "split", "k1", "k2", "start", F.substring(F.col("raw"), F.col("start").cast("int") + 1, F.col("n") + WIDTH - 1).alias("bytes"))
-    sharded = segments.repartition("g").sortWithinPartitions("g").mapInArrow(_shards, "kind int, k1 long, k2 long, start long, n long, range int, blob binary")
+    sharded = segments.repartition("g").sortWithinPartitions("g").mapInArrow(Lean(_shards), "kind int, k1 long, k2 long, start long, n long, range int, blob binary")
     sharded = written(sharded, "marks")
     found = sharded.filter("kind = 0").select("k1", "k2", "start", "n")
-    across = sharded.filter("kind = 1").select(F.col("range").alias("r"), "blob").repartition("r").sortWithinPartitions("r").mapInArrow(_across, "k1 long, k2 long, start long, n long")
+    across = sharded.filter("kind = 1").select(F.col("range").alias("r"), "blob").repartition("r").sortWithinPartitions("r").mapInArrow(Lean(_across), "k1 long, k2 long, start long, n long")
     return whole.union(found).union(across), texts
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed from text, and kept (the exact bytes), n_bytes, n_removed, n_spans, kept_sha256."""
-    names = [c for c in docs.columns if c not in ("k1", "k2")]
+    added = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = [c for c in docs.columns if c not in ("k1", "k2", "starts", "sizes", *added)]
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
     spans, texts = repeated_spans(keyed)
     by_text = written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("s")).select("k1", "k2", F.col("s.start").alias("starts"), F.col("s.n").alias("sizes")), "spans")
     rest = [c for c in names if c != "text"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest], "k1 long, k2 long, text string, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    changed = texts.join(by_text, ["k1", "k2"]).select(*rest, "k1", "k2", "text", "starts", "sizes").mapInArrow(_cut, schema)
+    changed = texts.join(by_text, ["k1", "k2"]).select(*rest, "k1", "k2", "text", "starts", "sizes").mapInArrow(Lean(_cut), schema)
     keys = by_text.select("k1", "k2")
     untouched = keyed.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, ["k1", "k2"], "left_anti")
     raw = F.coalesce("text", F.lit(""))
     plain = untouched.select(*rest, "text", raw.cast("binary").alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"))
-    return plain.select(*names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256").union(changed.select(*names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    return plain.select(*names, *added).union(changed.select(*names, *added))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglattice.llm.common import written
-from loglattice.llm.flat import chunks, flat
+from loglattice.llm.flat import Lean, chunks, flat
 
 BITS, SIZES = 18, (3, 4, 5)
 MAX_ROWS = 8_000
@@ -148,13 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, least_df
     per_doc = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = per_doc.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = written(texts.mapInArrow(_features, "doc_id long, toxic int, slots binary"), "labelled")
+    rows = written(texts.mapInArrow(Lean(_features), "doc_id long, toxic int, slots binary"), "labelled")
     n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     empty = np.zeros(1 << BITS)
     if positives in (0, n):
         share = (positives + 1) / (n + 2)
         return Model(empty.astype(np.float32), float(np.log(share / (1 - share))))
-    counts = rows.mapInArrow(_counted, "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    counts = rows.mapInArrow(Lean(_counted), "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     in_toxic, in_clean = empty.copy(), empty.copy()
     slot = counts["slot"].to_numpy()
     in_toxic[slot], in_clean[slot] = counts["toxic"].to_numpy(), counts["clean"].to_numpy()
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, least_df
             slots = [np.frombuffer(b.as_buffer(), "<u4") for b in batch.column("slots")]
             yield batch.set_column(2, "slots", pa.array([s[used[s]].tobytes() for s in slots], pa.binary()))
 
-    left = rows.mapInArrow(kept, rows.schema).toArrow().sort_by("doc_id")
+    left = rows.mapInArrow(Lean(kept), rows.schema).toArrow().sort_by("doc_id")
     return fit([np.frombuffer(b.as_buffer(), "<u4") for b in left["slots"]], left["toxic"].to_numpy().astype(np.int64), ratio)
 
 
@@ -184,7 +184,7 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in rest], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*[f.name for f in rest], "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(Lean(run), schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import id_buckets, scratch_path, written
+from loglattice.llm.flat import Lean
 
 LEAST_REVISIT = 100
 FILE_BYTES = 32 << 20
@@ -125,7 +126,7 @@ def write(records: DataFrame, folder: str, n_shards: int, file_bytes: int = FILE
             yield close()
 
     store(folder)[0].create_dir(store(folder)[1], recursive=True)
-    placed.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    placed.mapInArrow(Lean(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -179,7 +180,7 @@ def read(manifest: DataFrame, folder: str, contents: bool = True) -> DataFrame:
         if rows:
             yield flush()
 
-    return manifest.select("file").mapInArrow(run, schema)
+    return manifest.select("file").mapInArrow(Lean(run), schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

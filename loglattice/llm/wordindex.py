@@ -6,7 +6,7 @@ import numpy as np
 
 
 class WordIndex:
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits, self.mask, self.count = bits, (1 << bits) - 1, 0
         self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
