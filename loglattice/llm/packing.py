@@ -90,23 +90,22 @@ def filling(room: int, longest: int, counts: list[int]) -> list[int]:
             rest -= n
         else:
             n -= 1
-    waste, nodes, left = rest, NODES, {}
+    waste, nodes = rest, NODES
 
     def visit(rest: int, top: int) -> None:
+        """Decide how many pieces of each length, from long to short; as deep as there are different lengths in a filling."""
         nonlocal best, waste, nodes
         nodes -= 1
         if rest < waste:
             waste, best = rest, chosen.copy()
         n = below[min(top, rest)]
         while n and waste and nodes > 0:
-            if counts[n] - left.get(n, 0) > 0:
-                if n * (sum_bound := rest // n) < rest - waste and sum_bound < 1:
+            for times in range(min(counts[n], rest // n), 0, -1):
+                chosen.extend([n] * times)
+                visit(rest - n * times, n - 1)
+                del chosen[-times:]
+                if not waste or nodes <= 0:
                     break
-                left[n] = left.get(n, 0) + 1
-                chosen.append(n)
-                visit(rest - n, n)
-                chosen.pop()
-                left[n] -= 1
             n = below[n - 1]
 
     if waste:

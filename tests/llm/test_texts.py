@@ -97,6 +97,17 @@ def test_bin_completion_beats_or_equals_the_exact_optimum():
         assert min(sum(t for _, t in p) for p in plans) <= optimum(sizes, 20) + 1
 
 
+def test_bin_completion_on_many_tiny_pieces():
+    for histogram in ({1: 30_000, 2000: 3, 700: 50}, {1: 100_000}, {1: 5, 2: 4000, 3: 4000, 1500: 900}):
+        plan, found = packing.completed(histogram, 2048), {}
+        for lengths, times in plan:
+            assert sum(lengths) <= 2048
+            for n in lengths:
+                found[n] = found.get(n, 0) + times
+        assert found == histogram
+        assert sum(t for _, t in plan) <= max(-(-sum(n * c for n, c in histogram.items()) // 2048), sum(c for n, c in histogram.items() if n > 1024)) + 1
+
+
 def plain_rules(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     marks = set()
