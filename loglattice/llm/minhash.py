@@ -336,10 +336,12 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def _full_sets(docs: DataFrame, all_docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
     """(v, items) of the classes in some bucket, from one text of each class."""
-    wanted = all_docs.select("doc_id", "v").join(members.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
-    wanted = written(wanted, "wanted")
+    #: doc_ids may be tied or null: the hash tells the texts of one id apart.
+    wanted = all_docs.select("doc_id", "text_hash", "v").join(members.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.min(F.struct("doc_id", "text_hash")).alias("_w"))
+    wanted = written(wanted.select("v", F.col("_w.doc_id").alias("_d"), F.col("_w.text_hash").alias("_h")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side.select(F.col("doc_id").alias("_d"), "v"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("v", "text")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = hashed.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))).select("v", "text")
     return written(texts.groupBy("v").agg(F.min("text").alias("text")).mapInArrow(Lean(_sets(s.words)), "v binary, items binary"), "sets")
 
 

@@ -70,6 +70,20 @@ def test_near_duplicates_odd_tables(spark):
     assert got == Counter([(1, 1, True)] * 3 + [(None, 1, False)] + [(2, 2, True)] * 2)
 
 
+@pytest.mark.parametrize("most", [minhash.MAX_BROADCAST_IDS, 0])
+def test_near_duplicates_among_tied_and_null_ids(spark, most, monkeypatch):
+    monkeypatch.setattr(minhash, "MAX_BROADCAST_IDS", most)
+    r = random.Random(8)
+    bases = [words(r, 120, 4000) for _ in range(6)]
+    near = [" ".join([*b[:-1], "changed"]) for b in bases]
+    for shared in (7, None):
+        rows = [(shared, " ".join(b)) for b in bases] + [(100 + i, t) for i, t in enumerate(near)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = Counter((x.doc_id, x.component_id) for x in minhash.near_duplicates(docs).collect())
+        want = [(d, shared or 100 + i % 6) for i, (d, _) in enumerate(rows)]
+        assert got == Counter(want)
+
+
 def test_components(spark):
     r = random.Random(5)
     for links in ([(i, i + 1) for i in range(120)], [(0, i) for i in range(1, 50)], [(r.randrange(200), r.randrange(200)) for _ in range(150)], []):
