@@ -12,7 +12,9 @@ Written form: 8 hex digits of the count, then 5 for each of the 64 lanes.
 Likeness of two fingerprints estimates 2<a,b>/(<a,a>+<b,b>) of the unit
 multisets: digits less their mean 7.5 are independent with mean 0, so inner
 products of the sums estimate inner products of the multiplicities. It is 1 for
-equal fingerprints (two empty texts too) and cut to 0..1.
+equal fingerprints (two empty texts too) and cut to 0..1. `fingerprints` takes
+it from the sums before they are reduced modulo 2**20, so for texts of any
+number of units that a row can hold; `likeness` has the written forms only.
 
 Cases: null text counts as empty (count 0, all lanes 0). Rows are kept one to
 one, repeated and tied doc_ids included (ties are ordered by text); null
@@ -54,12 +56,12 @@ def lane_order() -> list[tuple[int, int]]:
 
 
 def lane_sums(packed: list[Column]) -> Column:
-    """The 64 lane sums modulo 2**20 as an array of longs, from sums of the packed longs."""
-    return F.array(*[F.shiftrightunsigned(packed[k], s).bitwiseAND(F.lit(LANE_MASK)) for k, s in lane_order()])
+    """The 64 lane sums as an array of longs, from sums of the packed longs; a field of 32 bits holds the sum of 286 million units."""
+    return F.array(*[F.shiftrightunsigned(packed[k], s).bitwiseAND(F.lit(COUNT_MASK)) for k, s in lane_order()])
 
 
 def written_form(count: Column, lanes: Column) -> Column:
-    return F.concat(F.lpad(F.lower(F.hex(count.bitwiseAND(F.lit(COUNT_MASK)))), COUNT_HEX, "0"), F.array_join(F.transform(lanes, lambda v: F.lpad(F.lower(F.hex(v)), LANE_HEX, "0")), ""))
+    return F.concat(F.lpad(F.lower(F.hex(count.bitwiseAND(F.lit(COUNT_MASK)))), COUNT_HEX, "0"), F.array_join(F.transform(lanes, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(LANE_MASK)))), LANE_HEX, "0")), ""))
 
 
 def _lanes(fp: Column) -> Column:
@@ -82,17 +84,19 @@ def centred(count: Column, lanes: Column) -> Column:
 
 
 def _inner(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("long"), lambda s, v: s + v)
+    """In doubles: exact below 2**53, and longs would overflow on texts of many equal units."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def _cosine(same: Column, ab: Column, norm: Column) -> Column:
-    return F.when(same, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ab.cast("double") * 2 / norm.cast("double"))), 6))
+    return F.when(same, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ab * 2 / norm)), 6))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness in 0..1 of two written fingerprints, while a text has fewer than 2**20 / 15 units."""
+    """Likeness in 0..1 of two written fingerprints; null if they differ and a text has 2**20 / 15 units or more, whose lanes may have wrapped."""
     x, y = centred(_count(a), _lanes(a)), centred(_count(b), _lanes(b))
-    return _cosine(a == b, _inner(x, y), _inner(x, x) + _inner(y, y))
+    known = F.greatest(_count(a), _count(b)) * 15 <= LANE_MASK
+    return F.when((a == b) | known, _cosine(a == b, _inner(x, y), _inner(x, x) + _inner(y, y)))
 
 
 def fingerprints(df: DataFrame, texts: dict[str, Column], keep: list[str], against: dict[str, tuple[str, str]] | None = None) -> DataFrame:

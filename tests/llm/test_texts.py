@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,21 @@ def test_fingerprints(spark):
     assert r.added == r.fz and r.less == r.fx and r.one == 1.0
 
 
+def test_likeness_of_texts_whose_lanes_wrap(spark):
+    def sums(text):
+        return sum(n * (2.0 * np.array([int(c, 16) for c in hashlib.sha256(u.encode()).hexdigest()]) - 15) for u, n in Counter(text.split("\n")).items() if u)
+
+    many = ["\n".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 150_000), ("b", 200_000))]
+    pairs = [tuple(many), ("ok\n" * 90_000, "ok\n" * 45_000), ("ok\n" * 90_000, many[0])]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
+    out = fingerprint.fingerprints(df, {"fx": F.col("x"), "fy": F.col("y")}, ["i"], {"near": ("fx", "fy")})
+    got = {r.i: (r.near, r.written) for r in out.withColumn("written", fingerprint.likeness(F.col("fx"), F.col("fy"))).collect()}
+    for i, (x, y) in enumerate(pairs):
+        a, b = sums(x), sums(y)
+        assert got[i] == (pytest.approx(min(1, max(0, 2 * a @ b / (a @ a + b @ b))), abs=2e-6), None)
+    assert got[0][0] < 0.5 and got[1][0] == 0.8
+
+
 def test_next_document_is_cyclic(spark):
     rows = [(i * 37 % 101, f"t{i}") for i in range(101)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
