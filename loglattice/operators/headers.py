@@ -11,9 +11,10 @@ SHARE, SAMPLE = 0.95, 5000
 
 
 def header_values(lines: DataFrame, length: int, sample: int | None = SAMPLE) -> DataFrame:
-    """(rec_no, field, value, delim, parts) of the first `sample` records' header fields."""
-    chosen = lines if sample is None else lines.filter(F.col("rec_no") < sample)
-    head = chosen.select("rec_no", X.head_of(F.col("line"), length).alias("h")).filter("h <> ''")
+    """(rec_no, field, value, delim, parts) of the header fields; with `sample` of the first so many lines that have a header, whatever their rec_no."""
+    head = lines.select("rec_no", X.head_of(F.col("line"), length).alias("h")).filter("h <> ''")
+    if sample is not None:
+        head = head.orderBy("rec_no", "h").limit(sample)
     fields = head.select("rec_no", F.posexplode(F.arrays_zip(X.header_fields(F.col("h")).alias("value"), X.header_separators(F.col("h")).alias("delim"))).alias("field", "x"))
     return fields.select("rec_no", "field", "x.value", "x.delim", X.digit_runs(F.col("x.value")).alias("parts"))
 

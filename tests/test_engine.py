@@ -121,6 +121,15 @@ def test_pattern_split_round_trip(spark):
     assert parts.filter("v like '/%'").select(profile.joined_pattern(F.col("p"), ".:").alias("r")).first().r == "/10.0.0.1:80".replace("10.0.0.1:80", "10.0.0.1:80")
 
 
+def test_header_sample_is_by_position(spark):
+    rows = spark.range(4_000, 12_000).select(F.col("id").alias("rec_no"), F.when(F.col("id") < 6_000, F.lit("noheader")).otherwise(F.concat(F.lit("a"), F.col("id") % 10, F.when(F.col("id") < 11_000, F.lit(" ")).otherwise(F.lit("\t")), F.lit("text"))).alias("line"))
+    values = headers.header_values(rows, 1)
+    assert values.agg(F.count("*"), F.min("rec_no"), F.max("rec_no")).first() == (5_000, 6_000, 10_999)
+    mode = headers.part_mode(values).first()
+    assert (mode.field, mode.n_parts, mode.total, mode.formatted) == (0, 2, 5_000, True)
+    assert [(r.piece, r.length) for r in headers.layout(values).orderBy("part").collect()] == [("a", 0), ("%d", 1)]
+
+
 def test_linkage_and_iterative_clusters(spark):
     points = [(i, [float(i % 3 * 10), float(i % 2) / 10]) for i in range(60)]
     df = spark.createDataFrame(points, "id long, v array<double>")
