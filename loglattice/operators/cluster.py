@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loglattice.operators.order import hash_rank
 
-SAMPLE = 100
+SAMPLE, LEAST, AHEAD = 100, 3, 32
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -61,7 +64,7 @@ def complete_linkage(vectors: DataFrame, key: str, vec: str, threshold: float) -
     return sample.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: run(pdf), f"{key} long, cluster long")
 
 
-def representatives(vectors: DataFrame, cluster: str, vec: str, least: int = 3) -> DataFrame:
+def representatives(vectors: DataFrame, cluster: str, vec: str, least: int = LEAST) -> DataFrame:
     """(cluster, center): mean vector of clusters with at least `least` members."""
     sizes = vectors.groupBy(cluster).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(cluster)
     cells = vectors.join(F.broadcast(sizes), cluster).select(cluster, F.posexplode(vec).alias("i", "x"))
@@ -79,38 +82,59 @@ def nearest(vectors: DataFrame, centers: DataFrame, key: str, vec: str, cluster:
     return out if threshold is None else out.filter(F.col("dist") < threshold)
 
 
-def iterative_clusters(vectors: DataFrame, key: str, vec: str, threshold: float, rate: float = 0.1, rounds: int = 20, seed: str = "0") -> DataFrame:
+def sampled_clusters(left: DataFrame, key: str, vec: str, threshold: float, n: int, numbers: range, seed: str) -> DataFrame:
+    """(round, cluster, key, vec): complete-linkage clusters of each round's sample of n rows."""
+    samples = [hash_rank(left, f"{seed}-{i}", key, n).withColumn("round", F.lit(i)) for i in numbers]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        labels = linkage_labels(np.array(pdf[vec].tolist(), float).reshape(len(pdf), -1), threshold)
+        return pdf.assign(cluster=labels.astype(np.int64))[["round", "cluster", key, vec]]
+
+    kind = left.schema[key].dataType.simpleString()
+    return reduce(DataFrame.union, samples).groupBy("round").applyInPandas(lambda pdf: run(pdf), f"round int, cluster long, `{key}` {kind}, `{vec}` array<double>")
+
+
+def iterative_clusters(vectors: DataFrame, key: str, vec: str, threshold: float, rate: float = 0.1, fruitless: int = 200, seed: str = "0") -> DataFrame:
     """(key, cluster): sample, cluster, take means, assign all that are near, repeat on the rest.
 
-    A round without new representatives or assignments ends the loop, since samples
-    are deterministic. Per round at most SAMPLE rows meet in one task.
-    Remaining rows have cluster -1.
+    The loop ends when more than `fruitless` rounds in a row found no cluster of
+    LEAST members or assigned nothing, or when no sample can hold such a
+    cluster. The rows left are the same until a round succeeds, so the samples
+    of up to AHEAD rounds are looked at in one job and the first that succeeds
+    counts. Per round at most SAMPLE rows meet in one task. Remaining rows have
+    cluster -1.
     """
     spark = vectors.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
-        folder = tempfile.mkdtemp(prefix="lattice-")
+        folder = f"file://{tempfile.mkdtemp(prefix='lattice-')}"
     spark.sparkContext.setCheckpointDir(folder)
-    left, done, base = vectors.select(key, vec), None, 0
-    for number in range(rounds):
-        n = left.count()
-        if n < 2:
-            break
-        sample = hash_rank(left, f"{seed}-{number}", key, min(max(int(n * rate), 1), SAMPLE))
-        labels = complete_linkage(sample, key, vec, threshold)
-        centers = representatives(sample.join(labels, key), "cluster", vec).checkpoint()
-        if centers.isEmpty():
-            break
-        found = nearest(left, centers, key, vec, "cluster", threshold).select(key, (F.col("cluster") + base).alias("cluster")).checkpoint()
-        if found.isEmpty():
+    path = f"{folder.rstrip('/')}/clusters-{uuid.uuid4().hex[:12]}"
+    left, base, number, vain, ahead = vectors.select(key, F.col(vec).cast("array<double>").alias(vec)).checkpoint(), 0, 0, 0, 1
+    n = left.count()
+    while vain <= fruitless:
+        size = min(max(int(n * rate), 1), SAMPLE, n)
+        if size < LEAST:
             break
-        done = found if done is None else done.union(found)
-        base += SAMPLE
-        left = left.join(found.select(key), key, "left_anti").checkpoint()
+        numbers = range(number, number + min(ahead, fruitless + 1 - vain))
+        tried = sampled_clusters(left, key, vec, threshold, size, numbers, seed).checkpoint()
+        good = tried.groupBy("round", "cluster").count().filter(F.col("count") >= LEAST).agg(F.min("round")).first()[0]
+        found = None
+        if good is not None:
+            centers = representatives(tried.filter(F.col("round") == good), "cluster", vec, LEAST).checkpoint()
+            found = nearest(left, centers, key, vec, "cluster", threshold).select(key, (F.col("cluster") + base).alias("cluster")).checkpoint()
+        last = numbers[-1] if good is None else good
+        vain, number = vain + last + 1 - number, last + 1
+        ahead = min(2 * ahead, AHEAD)
+        if found is not None and not found.isEmpty():
+            found.write.mode("append").parquet(path)
+            left = left.join(found.select(key), key, "left_anti").checkpoint()
+            n, base, vain, ahead = left.count(), base + SAMPLE, 0, 1
     rest = left.select(key, F.lit(-1).cast("long").alias("cluster"))
-    return rest if done is None else done.union(rest)
+    return spark.read.schema(rest.schema).parquet(path).union(rest) if base else rest
 
 
 def farthest_first(vectors: DataFrame, key: str, vec: str, n: int, candidates: int = SAMPLE, seed: str = "0") -> list[int]:

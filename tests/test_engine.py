@@ -140,6 +140,17 @@ def test_linkage_and_iterative_clusters(spark):
     assert len(cluster.farthest_first(df, "id", "v", 3)) == 3
 
 
+def test_iterative_clusters_outlast_fruitless_rounds(spark):
+    # one group of 10 among 290 lone points: most samples of 30 hold fewer than three of the group
+    points = [(i, [0.0, i / 1000]) for i in range(10)] + [(i, [100.0 * i, 0.0]) for i in range(10, 300)]
+    df = spark.createDataFrame(points, "id long, v array<double>")
+    labels = {k: cluster.iterative_clusters(df, "id", "v", 1.0, seed=k).collect() for k in ("0", "4")}
+    for out in labels.values():
+        found = {r.id: r.cluster for r in out}
+        assert len(out) == len(found) == 300
+        assert len({found[i] for i in range(10)}) == 1 and found[0] >= 0 and all(found[i] == -1 for i in range(10, 300))
+
+
 def test_similarities(spark):
     assert S.lcs(list("abcde"), list("axcye")) == (3, ["a", "<*>", "c", "<*>", "e"])
     assert S.gap_match(["a", "<*>", "c"], ["a", "b", "b", "c"]) == [["b", "b"]]
