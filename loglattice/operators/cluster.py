@@ -83,8 +83,9 @@ def nearest(vectors: DataFrame, centers: DataFrame, key: str, vec: str, cluster:
 
 
 def sampled_clusters(left: DataFrame, key: str, vec: str, threshold: float, n: int, numbers: range, seed: str) -> DataFrame:
-    """(round, cluster, key, vec): complete-linkage clusters of each round's sample of n rows."""
-    samples = [hash_rank(left, f"{seed}-{i}", key, n).withColumn("round", F.lit(i)) for i in numbers]
+    """(round, cluster, key, vec): complete-linkage clusters of each round's sample of n rows. Samples are ranked by key alone, in a task per core."""
+    keys = left.select(key).coalesce(left.sparkSession.sparkContext.defaultParallelism)
+    samples = [hash_rank(keys, f"{seed}-{i}", key, n).withColumn("round", F.lit(i)) for i in numbers]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -92,7 +93,7 @@ def sampled_clusters(left: DataFrame, key: str, vec: str, threshold: float, n: i
         return pdf.assign(cluster=labels.astype(np.int64))[["round", "cluster", key, vec]]
 
     kind = left.schema[key].dataType.simpleString()
-    return reduce(DataFrame.union, samples).groupBy("round").applyInPandas(lambda pdf: run(pdf), f"round int, cluster long, `{key}` {kind}, `{vec}` array<double>")
+    return left.join(F.broadcast(reduce(DataFrame.union, samples)), key).groupBy("round").applyInPandas(lambda pdf: run(pdf), f"round int, cluster long, `{key}` {kind}, `{vec}` array<double>")
 
 
 def iterative_clusters(vectors: DataFrame, key: str, vec: str, threshold: float, rate: float = 0.1, fruitless: int = 200, seed: str = "0") -> DataFrame:
