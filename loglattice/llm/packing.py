@@ -4,12 +4,12 @@ Documents become token ids plus one separator; those longer than the capacity
 are cut into full pieces, the first of which may be shorter. Only the piece
 lengths decide the packing, and there are at most `capacity` of them, so the
 plan is made on their histogram, whatever the number of documents: around the
-longest length that is left, fillings of the remaining room are enumerated
-from long to short by branch and bound; fillings dominated by one with a longer
-piece in place of several come later and are cut, branches that cannot waste
-less than the incumbent (at first the best-fit filling) are pruned, and the
-filling found is used as often as the counts allow. The plan is compared with
-plain best-fit decreasing and the better of the two is taken.
+longest length that is left, fillings of the remaining room are searched depth
+first from long to short, starting from the filling by longest piece that fits,
+until one wastes nothing or NODES nodes were seen (so a filling need not be the
+best), without dominance test or bound; the filling found is used as often as
+the counts allow. The plan is compared with plain best-fit decreasing and the
+better of the two is taken.
 
 Pieces of one length are interchangeable: each gets a rank among its length
 from counts per (length, hash bucket), so that a very common length is not
@@ -77,7 +77,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: i
 
 
 def filling(room: int, longest: int, counts: list[int]) -> list[int]:
-    """Lengths (longest first) that fill the room with least waste, by branch and bound over counts."""
+    """Lengths (longest first) that fill the room with the least waste seen in NODES nodes of a depth-first search over counts."""
     below = [0] * (max(room, longest) + 1)
     for n in range(1, len(below)):
         below[n] = n if counts[n] else below[n - 1]
