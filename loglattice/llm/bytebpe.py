@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-from loglattice.llm.flat import Hashes
-from loglattice.llm.wordindex import WordIndex
+from loglattice.llm.flat import slice_classes
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
+KNOWN_WORDS = 300_000
 #: Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -89,23 +88,7 @@ class ByteBpe:
 
     def __init__(self, path: str):
         self.encoding, self.special, self.special_ids = encoding(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = WordIndex()
-        self.places, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        encode = self.encoding.encode_ordinary
-        found = [encode(w.decode("utf-8")) for w in words]
-        numbers = self.known.add(keys)
-        ends = np.cumsum([len(ids) for ids in found]) + self.places[numbers[0]]
-        while len(self.places) <= numbers[-1] + 1:
-            self.places = np.concatenate([self.places, np.zeros_like(self.places)])
-        while len(self.ids) < ends[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.places[numbers[0]] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32)
-        self.places[numbers + 1] = ends
+        self.known: dict[bytes, np.ndarray] = {}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the texts' offsets in them."""
@@ -113,8 +96,8 @@ class ByteBpe:
         text = raw.decode("utf-8")
         if any(s in text for s in self.special):
             return self._with_special(data, offsets)
-        if self.known.full:
-            self.forget()
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {}
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -123,20 +106,21 @@ class ByteBpe:
         np.cumsum(lead, out=char_at[1:])
         begin = np.flatnonzero(lead)[word_starts(points, char_at[offsets])]
         end = np.append(begin[1:], len(data))
-        keys = Hashes(data).of(begin, end)
-        number = self.known.find(keys)
-        lost = np.flatnonzero(number < 0)
-        if len(lost):
-            fresh, first = np.unique(keys[lost], return_index=True)
-            at = lost[first]
-            self.learn(fresh, [raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist())])
-            number[lost] = self.known.find(keys[lost])
-        place = self.places[number]
-        sizes = self.places[number + 1] - place
+        _, first, number = np.unique(slice_classes(data, begin, end), return_index=True, return_inverse=True)
+        words = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
+        found = []
+        for w in words:
+            ids = self.known.get(w)
+            if ids is None:
+                ids = self.known[w] = np.array(self.encoding.encode_ordinary(w.decode("utf-8")), np.uint32)
+            found.append(ids)
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        place, every = (np.cumsum(sizes) - sizes)[number], np.concatenate(found)
+        sizes = sizes[number]
         total = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
         index = np.repeat(place - total[:-1], sizes) + np.arange(total[-1])
-        return self.ids[index], total[np.searchsorted(begin, offsets)]
+        return every[index], total[np.searchsorted(begin, offsets)]
 
     def _with_special(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts that hold a special token's string: it becomes that token, as the tokenizers library does."""

@@ -1,4 +1,4 @@
-"""Batches of texts as flat numpy arrays, and polynomial hashes of their substrings."""
+"""Batches of texts as flat numpy arrays; hashes of their slices, and exact classes of equal slices."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 1 << 13
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,13 +32,13 @@ class Lean:
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most `limit` bytes of text each, or one row."""
+    """The batch in slices of at most `limit` bytes of text and CHUNK_ROWS rows each, or one row."""
     if not batch.num_rows:
         return
     _, offsets = flat(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield batch.slice(at, end - at)
         at = end
 
@@ -68,32 +68,108 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: What counts of an 8-byte block of which so many bytes belong to the slice.
+TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for k, b in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
-            step = np.full(size, b, np.uint64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on (zeros beyond the end) as numbers; a view of a padded copy."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-class Hashes:
-    """Hashes of any substrings of an array of bytes or small integers, from one prefix sum."""
+def slice_blocks(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All 8-byte blocks of all slices (one for an empty slice), each block's number in its slice, and where each slice's blocks begin."""
+    counts = np.maximum((sizes + 7) >> 3, 1)
+    firsts = np.cumsum(counts) - counts
+    which = np.repeat(np.arange(len(sizes)), counts)
+    nth = np.arange(len(which)) - firsts[which]
+    return view[starts[which] + 8 * nth] & TAILS[np.minimum(sizes[which] - 8 * nth, 8)], nth, firsts
 
-    def __init__(self, symbols: np.ndarray):
-        up, self.down = powers(len(symbols))
-        values = _TABLE[symbols] if symbols.dtype == np.uint8 else mixed(symbols.astype(np.uint64) + np.uint64(1))
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(values * up[: len(symbols)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+def hashed(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice: the sum of its blocks, each spread with its number by a function that isn't linear."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    value, nth, firsts = slice_blocks(view, starts, sizes)
+    return mixed(np.add.reduceat(mixed(value ^ (nth.astype(np.uint64) + np.uint64(1)) * BASE), firsts) + sizes.astype(np.uint64) * BASE)
+
+
+def equal_slices(view: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Are the slices of the same sizes at a and at b the same bytes."""
+    if not len(a):
+        return np.zeros(0, bool)
+    one, _, firsts = slice_blocks(view, a, sizes)
+    return np.logical_and.reduceat(one == slice_blocks(view, b, sizes)[0], firsts)
+
+
+def numbered(keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray], value: Callable[[int], object]) -> np.ndarray:
+    """Class numbers of items, the same for the same items only.
+
+    Keys are a filter: items of one key are confirmed by `equal` (items at two
+    arrays of places), and where that fails once, `value` tells the key's items
+    apart.
+    """
+    out = np.zeros(len(keys), np.int64)
+    if not len(keys):
+        return out
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    at = np.flatnonzero(ranked[1:] == ranked[:-1])
+    held = equal(order[at], order[at + 1])
+    fresh = np.ones(len(keys), bool)
+    fresh[at[held] + 1] = False
+    out[order] = np.cumsum(fresh) - 1
+    if not held.all():
+        top = len(keys)
+        for key in np.unique(ranked[at[~held]]).tolist():
+            seen: dict = {}
+            for i in order[np.searchsorted(ranked, np.uint64(key)) : np.searchsorted(ranked, np.uint64(key), "right")].tolist():
+                out[i] = seen.setdefault(value(i), top + len(seen))
+            top += len(seen)
+        out = np.unique(out, return_inverse=True)[1]
+    return out
+
+
+def slice_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+    """Class numbers of slices of bytes: equal exactly for equal bytes (of one owner, where that is given)."""
+    view, sizes = blocks(data), ends - starts
+    keys = hashed(view, starts, sizes)
+    of = np.zeros(len(starts), np.int64) if owner is None else owner
+    if owner is not None:
+        keys ^= mixed(owner.astype(np.uint64) + np.uint64(1))
+
+    def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (sizes[a] == sizes[b]) & (of[a] == of[b])
+        out[out] = equal_slices(view, starts[a[out]], starts[b[out]], sizes[a[out]])
+        return out
+
+    return numbered(keys, equal, lambda i: (int(of[i]), data[starts[i] : ends[i]].tobytes()))
+
+
+def window_keys(values: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ascending sizes a hash of all windows of so many neighbouring values, in order."""
+    keys = np.full(len(values), BASE)
+    for k in range(max(sizes)):
+        keys = mixed(keys[: max(0, len(values) - k)] ^ values[k:].astype(np.uint64)) + np.uint64(k + 1)
+        if k + 1 in sizes:
+            yield k + 1, keys
+
+
+def window_classes(values: np.ndarray, owner: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size: the places of windows within one owner, and exact class numbers of them (equal values, same owner)."""
+    for n, keys in window_keys(values, sizes):
+        at = np.arange(len(keys))
+        at = at[owner[at] == owner[at + n - 1]] if len(at) else at
+
+        def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            a, b = at[a], at[b]
+            out = owner[a] == owner[b]
+            for k in range(n):
+                out &= values[a + k] == values[b + k]
+            return out
+
+        yield n, at, numbered(keys[at] ^ mixed(owner[at].astype(np.uint64) + np.uint64(1)), equal, lambda i: (int(owner[at[i]]), *values[at[i] : at[i] + n].tolist()))
 
 
 def totals(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -137,3 +213,27 @@ def covered(marks: np.ndarray, n: int, size: int) -> np.ndarray:
     edge[at] += 1
     edge[np.minimum(at + n, size)] -= 1
     return np.cumsum(edge[:-1]) > 0
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of a sorted key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        last = int(change[-1]) if len(change) else 0
+        if held and (len(change) or held[-1].column(key)[-1].as_py() != keys[0]):
+            cut = last if held[-1].column(key)[-1].as_py() == keys[0] else 0
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held = []
+            if not cut and last:
+                yield pa.Table.from_batches([batch.slice(0, last)])
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)

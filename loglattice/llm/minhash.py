@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm.common import written
 from loglattice.llm.components import components
-from loglattice.llm.flat import Hashes, Lean, chunks, flat, mixed, words_of
+from loglattice.llm.flat import Lean, blocks, chunks, flat, hashed, mixed, whole_groups, window_keys, words_of
 
 PERMUTATIONS, LOW_BITS, BLOCK = 128, 4, 2048
 #: Sets are at most so many in a broadcast list of ids; beyond that the join is shuffled.
@@ -72,12 +72,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     starts, ends, text_of = words_of(data, offsets)
     n_texts = len(offsets) - 1
     counts = np.bincount(text_of, minlength=n_texts)
-    rolling = Hashes(Hashes(data).of(starts, ends))
-    at = np.arange(max(0, len(starts) - n + 1))
-    at = at[text_of[at] == text_of[at + n - 1]]
+    words = hashed(blocks(data), starts, ends - starts)
+    _, grams = next(window_keys(words, (n,)))
+    at = np.arange(len(grams))
+    at = at[text_of[at] == text_of[at + n - 1]] if len(at) else at
     first = np.cumsum(counts) - counts
     few = np.flatnonzero((counts > 0) & (counts < n))
-    keys = np.concatenate([rolling.of(at, at + n), rolling.of(first[few], first[few] + counts[few])])
+    short = mixed(counts[few].astype(np.uint64))
+    for k in range(n - 1):
+        more = counts[few] > k
+        short[more] = mixed(short[more] ^ words[first[few[more]] + k]) + np.uint64(k + 1)
+    keys = np.concatenate([grams[at], short])
     owner = np.concatenate([text_of[at], few])
     bits = max(1, int(n_texts).bit_length())
     packed = np.sort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (keys >> np.uint64(bits)))
@@ -153,30 +158,6 @@ def _sets(words: int) -> Callable:
     return run
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables that hold whole groups of a sorted key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        last = int(change[-1]) if len(change) else 0
-        if held and (len(change) or held[-1].column(key)[-1].as_py() != keys[0]):
-            cut = last if held[-1].column(key)[-1].as_py() == keys[0] else 0
-            if cut:
-                held.append(batch.slice(0, cut))
-            yield pa.Table.from_batches(held)
-            held = []
-            if not cut and last:
-                yield pa.Table.from_batches([batch.slice(0, last)])
-        elif last:
-            yield pa.Table.from_batches([batch.slice(0, last)])
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Similarity of one signature to many, from packed nibbles as 64-bit words."""
     x = one ^ many

@@ -2,8 +2,8 @@
 
 A batch's texts become one flat array of symbols. Places where no piece of the
 vocabulary could ever span are cut, so the batch falls into short words, and
-only distinct words are encoded (hashes of words find those seen before, in a
-bounded cache). Encoding runs in rounds over all open words at once: ranks of
+only distinct words are encoded (those seen before are kept, by their
+characters, in a bounded cache). Encoding runs in rounds over all open words at once: ranks of
 neighbouring pairs are looked up in a hash table, the least rank of each word
 is found by a segmented minimum, its leftmost non-overlapping occurrences are
 merged at once, and the arrays are compacted, until no pair remains. Where the
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loglattice.llm.flat import Hashes, Lean, chunks, flat
+from loglattice.llm.flat import Lean, chunks, flat, slice_classes
 
 NONE = np.int32(2**31 - 1)
 SPACE = "▁"
@@ -247,15 +247,15 @@ class Encoder:
         cut[begins] = True
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], len(points))
-        hashes = Hashes(points).of(starts, stops)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        known = self.known
-        slots = [known.get(h, -1) for h in distinct.tolist()]
+        _, first, which = np.unique(slice_classes(points.view(np.uint8), 4 * starts, 4 * stops), return_index=True, return_inverse=True)
+        known, raw = self.known, points.tobytes()
+        words = [raw[4 * a : 4 * b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+        slots = [known.get(w, -1) for w in words]
         fresh = [k for k, s in enumerate(slots) if s < 0]
         if fresh:
             at = first[fresh]
             for k, ids in zip(fresh, self.pieces.words(points, starts[at], stops[at])):
-                slots[k] = known[int(distinct[k])] = len(self.sizes)
+                slots[k] = known[words[k]] = len(self.sizes)
                 self.sizes.append(len(ids))
                 self.decimal.append(" ".join(map(str, ids)).encode())
                 self.plain.append(b"".join([self.pieces.surface[i] for i in ids]))

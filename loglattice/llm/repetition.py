@@ -1,8 +1,9 @@
 """Quality rules on repetition inside a text.
 
 Words are runs without white space. For n-grams of 5, 7 and 10 words, rolling
-hashes over the words' hashes find n-grams that occurred earlier in the same
-text; what counts is the share of the words' characters that lie in such
+hashes over the words find n-grams that occurred earlier in the same text;
+equal hashes of words, n-grams and lines are confirmed on what they stand for,
+so no hash decides a count; what counts is the share of the words' characters that lie in such
 repeats (overlaps once), and the share in lines equal to an earlier line. A
 text fails if a share exceeds its limit (the longer the n-gram, the lower), or
 by the base rule: fewer than 50 words, or more than half of the words in
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loglattice.llm.flat import Hashes, Lean, chunks, covered, flat, mixed, repeats, totals, words_of
+from loglattice.llm.flat import Lean, chunks, covered, flat, repeats, slice_classes, totals, window_classes, words_of
 
 #: Largest share of characters in n-grams that occurred earlier, by n, and in lines that did.
 LIMITS, LINE_LIMIT = {5: 0.15, 7: 0.13, 10: 0.10}, 0.20
@@ -45,8 +46,6 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     sizes = so_far[ends] - so_far[starts]
     per_text = lambda values, of: np.bincount(of, values, n_texts).astype(np.int64)
     out = {"n_words": np.bincount(text_of, minlength=n_texts), "word_chars": per_text(sizes, text_of), "n_symbols": totals(SYMBOLS[data], offsets)}
-    hashes = Hashes(data)
-    salt = mixed(np.arange(1, n_texts + 1, dtype=np.uint64))
 
     breaks = np.flatnonzero(data == 10)
     line_starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
@@ -59,16 +58,13 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     filled = words_before[1] > words_before[0]
     line_starts, line_ends, line_text = line_starts[filled], line_ends[filled], line_text[filled]
     first_word, end_word = words_before[0][filled], words_before[1][filled]
-    _, later = repeats(hashes.of(line_starts, line_ends) ^ salt[line_text])
+    _, later = repeats(slice_classes(data, line_starts, line_ends, line_text))
     out["n_dup_lines"] = np.bincount(line_text[later], minlength=n_texts)
     size_sums = np.concatenate([[0], np.cumsum(sizes)])
     out["dup_line_chars"] = per_text((size_sums[end_word] - size_sums[first_word])[later], line_text[later])
 
-    rolling = Hashes(hashes.of(starts, ends))
-    for n in (WINDOW, *LIMITS):
-        at = np.arange(max(0, len(starts) - n + 1))
-        at = at[text_of[at] == text_of[at + n - 1]]
-        twice, later = repeats(rolling.of(at, at + n) ^ salt[text_of[at]])
+    for n, at, classes in window_classes(slice_classes(data, starts, ends), text_of, (WINDOW, *LIMITS)):
+        twice, later = repeats(classes)
         marks = np.zeros(len(starts), bool)
         marks[at] = twice if n == WINDOW else later
         inside = covered(marks, n, len(starts))

@@ -3,37 +3,46 @@
 A byte is removed if some string of 200 bytes that covers it also starts at
 another place, in the same text or another one.
 
-1. Every window of 200 bytes has an anchor: of its 64-byte strings the one with
-   the least hash (the leftmost of equal ones). Neighbouring windows with the
-   same anchor form a super-window, about one per 69 bytes. Equal windows have
-   equal anchors, so a window can only repeat within the super-windows of one
-   anchor. Anchors that occur once in the corpus are done with.
-2. Super-windows that are equal as a whole repeat as a whole. What remains are
-   distinct super-windows that share an anchor: these go to shards, all of an
-   anchor to one shard unless it has more than SPLIT of them.
-3. In each shard a suffix array is built by Larsson-Sadakane refinement (ranks
-   by 8 bytes, then doubled, unsorted groups only; every segment ends in its
-   own terminator) and common prefixes by Kasai's rule in its permuted form:
-   only places where the preceding bytes differ are compared, the others lose
-   one byte each. Neighbours with 200 bytes in common mark their windows.
-4. An anchor with more than SPLIT super-windows is dealt to several shards.
-   Each of them emits its sorted distinct windows as fingerprints, cut at
-   common range borders; per range, every shard's run is looked up in the
-   others by binary search, and windows found there are marked too.
+1. Candidates. Every window of 200 bytes has an anchor: of its 64-byte strings
+   the one with the least hash (the leftmost of equal ones). Neighbouring
+   windows with the same anchor form a super-window, about one per 69 bytes.
+   Equal windows have equal anchors, so only super-windows whose anchor hash
+   occurs twice can hold a repeat. Two anchors of one hash cost work, nothing
+   else: a hash never decides what is removed.
+2. Shards. The candidate regions of whole texts are dealt to shards of bounded
+   size. Each shard builds the suffix array of its regions by
+   Larsson-Sadakane refinement (ranks by 8 bytes, then doubled, unsorted groups
+   only, up to the width; every region ends in its own terminator) and common
+   prefixes by Kasai's rule in its permuted form: only places where the
+   preceding bytes differ are compared, the others lose one byte each.
+   Neighbours with 200 bytes in common mark their windows.
+3. Merging. Each shard emits one sorted run of its distinct super-windows, by
+   128-bit BLAKE2 digests. Runs are cut at range borders (as many ranges as the
+   data need) and merged in pairs, each looked up in the other by binary
+   search; super-windows found in two shards repeat as a whole. Many runs are
+   merged in groups first, and one entry of a digest goes on from each group,
+   so a passage that every shard has does not gather in one task.
+4. Edges. Super-windows that share an anchor without being equal can still
+   share windows: one of each digest goes to a shard of its anchor, where
+   suffix array and common prefixes are built as in 2. An anchor with more than
+   SPLIT of them is dealt to several shards, whose distinct windows are merged
+   as in 3.
 5. Marks become byte spans of documents, which are united and removed.
 
 Cases: null and empty texts and those under 200 bytes keep everything; of
 equal texts of 200 bytes or more nothing stays in any copy; repeated rows and
-tied doc_ids are places like others. Extra columns pass through, those with
-the names of results (kept, n_bytes, n_removed, n_spans, kept_sha256) or of
-inner columns (k1, k2, starts, sizes) are replaced. Texts are never cut. The kept bytes can
-break a UTF-8 sequence: `kept` is binary, `text` drops such fragments.
+tied or null doc_ids are places like others. Extra columns pass through, those
+with the names of results (kept, n_bytes, n_removed, n_spans, kept_sha256) or
+of inner columns (k1, k2, starts, sizes, anchors) are replaced. Texts are never
+cut; those above SEGMENT are searched for anchors segment by segment, and their
+regions may lie in several shards. The kept bytes can break a UTF-8 sequence:
+`kept` is binary, `text` drops such fragments.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +50,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import written
-from loglattice.llm.flat import Hashes, Lean, chunks, flat, mixed
+from loglattice.llm.flat import Lean, blocks, chunks, flat, mixed, whole_groups
 
 WIDTH, ANCHOR = 200, 64
 SPLIT = 1_000
-SHARD_BYTES = 1 << 18
-RANGES = 64
+SEGMENT, SHARD_BYTES = 4 << 20, 1 << 19
+RANGE_ROWS, GROUP_RUNS = 200_000, 4_096
+#: Prefixes are compared for all places at once up to so many bytes, then place by place.
+FAR = 256
 MAX_BROADCAST_KEYS = 500_000
+SIGN = np.uint64(1 << 63)
+
+
+def anchor_hashes(data: np.ndarray, anchor: int) -> np.ndarray:
+    """A hash of the `anchor` bytes (8 times a power of 2) from every place, by doubling."""
+    keys, size = mixed(blocks(data)[: max(0, len(data) - 7)]), 8
+    while size < anchor:
+        keys = mixed(keys[:-size] * np.uint64(3) + keys[size:]) if len(keys) > size else keys[:0]
+        size *= 2
+    return keys
 
 
 def super_windows(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
-    """text, start (in the text), n windows, anchor hash and two hashes of the covered bytes, of every super-window."""
-    empty = {c: np.zeros(0, np.int64) for c in ("text", "start", "n", "anchor", "one", "two")}
+    """text, start (in the text), n windows and anchor hash of every super-window."""
+    empty = {c: np.zeros(0, np.int64) for c in ("text", "start", "n", "anchor")}
     if len(data) < width:
         return empty
-    hashes = Hashes(data)
-    places = np.arange(len(data) - anchor + 1)
-    grams = hashes.of(places, places + anchor)
+    grams = anchor_hashes(data, anchor)
+    places = np.arange(len(grams))
     bits = np.uint64(int(len(data)).bit_length())
     least = (mixed(grams) >> bits << bits) | places.astype(np.uint64)
     span, size = width - anchor + 1, 1
@@ -74,34 +94,36 @@ def super_windows(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anc
     new = np.ones(len(starts), bool)
     new[1:] = (at[starts[1:]] != at[starts[:-1]]) | (text[starts[1:]] != text[starts[:-1]])
     first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(starts)))
     begin = starts[first]
-    end = begin + n - 1 + width
-    inside = hashes.of(begin, end)
-    lead = hashes.of(begin, begin + anchor) * np.uint64(3) + hashes.of(end - anchor, end) * np.uint64(5)
-    return {"text": text[begin], "start": begin - offsets[text[begin]], "n": n, "anchor": grams[at[begin]].view(np.int64), "one": inside.view(np.int64), "two": mixed(lead + inside + n.astype(np.uint64)).view(np.int64)}
+    return {"text": text[begin], "start": begin - offsets[text[begin]], "n": np.diff(np.append(first, len(starts))), "anchor": grams[at[begin]].view(np.int64)}
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            w = super_windows(*flat(part.column("text")))
-            who = pa.array(w["text"])
-            yield pa.RecordBatch.from_arrays([part.column("k1").take(who), part.column("k2").take(who), pa.array(w["start"]), pa.array(w["n"].astype(np.int32)), pa.array(w["anchor"]), pa.array(w["one"]), pa.array(w["two"])], names=["k1", "k2", "start", "n", "anchor", "one", "two"])
+def _windows(segment: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, offsets = flat(part.column("text"))
+                for low in range(0, len(data), segment) if len(offsets) == 2 else [0]:
+                    cut = offsets if len(offsets) > 2 else np.array([0, min(segment + WIDTH - 1, len(data) - low)])
+                    w = super_windows(data[low : low + cut[-1]], cut)
+                    who = pa.array(w["text"])
+                    yield pa.RecordBatch.from_arrays([part.column("k1").take(who), part.column("k2").take(who), pa.array(w["start"] + low), pa.array(w["n"].astype(np.int32)), pa.array(w["anchor"])], names=["k1", "k2", "start", "n", "anchor"])
+
+    return run
 
 
 def _initial(text: np.ndarray, end_of: np.ndarray) -> np.ndarray:
     """The next 8 bytes of every place as one number; places past the segment's end count as 0."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = blocks(text)[: len(text)].byteswap()
     left = end_of - np.arange(len(text))
-    key = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + len(text)], 0)
+    short = np.flatnonzero(left < 8)
+    shift = (8 * (8 - left[short])).astype(np.uint64)
+    key[short] = key[short] >> shift << shift
     return key
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of segments laid end to end, each closed by its own terminator (earlier ones smaller), and the ranks."""
+def suffix_array(text: np.ndarray, ends: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of segments laid end to end, each closed by its own terminator (earlier ones smaller), and the ranks; with a limit, suffixes that agree in so many bytes stay in order of place."""
     n = len(text)
     sizes = np.diff(np.concatenate([[0], ends]))
     segment = np.repeat(np.arange(len(ends)), sizes)
@@ -117,7 +139,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     last = np.append(head[1:], True)
     open_ = np.flatnonzero(~(head & last))
     h = 8
-    while len(open_):
+    while len(open_) and (limit is None or h < limit):
         who = order[open_]
         ahead = who + h
         # beyond the end: the segment's terminator, below every rank
@@ -137,6 +159,18 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, rank
 
 
+def common_length(text: np.ndarray, a: int, b: int, room: int) -> int:
+    """Bytes in common from a and b on, at most room, by steps of doubled size."""
+    n, step = 0, FAR
+    while n < room:
+        step = min(2 * step, room - n)
+        differ = text[a + n : a + n + step] != text[b + n : b + n + step]
+        if differ.any():
+            return n + int(differ.argmax())
+        n += step
+    return n
+
+
 def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each place in the text: bytes in common with its predecessor in the suffix array (Kasai's rule)."""
     n = len(text)
@@ -156,7 +190,7 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
     length = np.zeros(n, np.int64)
     key = _initial(text, end_of)
     live, at = compare, 0
-    while len(live):
+    while len(live) and at < FAR:
         a, b = live + at, before[live] + at
         room = np.minimum(end_of[live] - a, end_of[before[live]] - b)
         inside = room > 0
@@ -173,13 +207,15 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
         length[live] += np.minimum(equal, room)
         live = live[same & (room > 8)]
         at += 8
+    for p in live.tolist():
+        length[p] += common_length(text, p + at, int(before[p]) + at, int(min(end_of[p] - p, end_of[before[p]] - before[p])) - at)
     anchor = np.maximum.accumulate(np.where(~known, places, 0))
     return np.where(known, np.maximum(length[anchor] - (places - anchor), 0), length)
 
 
 def repeated_windows(text: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marks of windows that start at two or more places; the suffix array's window starts in order, and each one's class there."""
-    order, _ = suffix_array(text, ends)
+    order, _ = suffix_array(text, ends, width)
     shared = common_prefixes(text, ends, order)[order] >= width
     shared[0] = False
     marks = np.zeros(len(text), bool)
@@ -192,10 +228,78 @@ def repeated_windows(text: np.ndarray, ends: np.ndarray, width: int = WIDTH) ->
     return marks & whole, order[fits], cls[fits]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per shard: runs of marked windows of its segments (kind 0) and, for split anchors, sorted runs of fingerprints by range (kind 1)."""
-    from loglattice.llm.minhash import whole_groups
-
+FOUND = [("d1", pa.int64()), ("d2", pa.int64()), ("run", pa.int64()), ("anchor", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]
+FOUND_SCHEMA = ", ".join(f"{c} long" for c, _ in FOUND)
+
+
+def found_rows(k1, k2, start: np.ndarray, n: np.ndarray, digest: np.ndarray | None = None, run: int = 0, anchor: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of FOUND: without digests marked runs of windows, with them entries of a sorted run."""
+    size = len(start)
+    none = pa.nulls(size, pa.int64())
+    halves = [none, none] if digest is None else [pa.array((digest[:, k] ^ SIGN).view(np.int64)) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*halves, none if digest is None else pa.array(np.full(size, run)), none if anchor is None else pa.array(anchor), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64))], names=[c for c, _ in FOUND])
+
+
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of slices, as two numbers each that sort like the digests."""
+    raw, blake = data.tobytes(), hashlib.blake2b
+    out = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    return np.frombuffer(out, ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def distinct_sorted(digest: np.ndarray) -> np.ndarray:
+    """The places of the first of each digest, in the digests' order."""
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    ranked = digest[order]
+    return order[np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)]] if len(order) else order
+
+
+def run_number(*parts: int) -> int:
+    """A number for a shard's run, from what identifies its first entry."""
+    x = np.zeros(1, np.uint64)
+    for p in parts:
+        x = mixed(x ^ np.array([p], np.int64).view(np.uint64)) + np.uint64(1)
+    return int(x.view(np.int64)[0])
+
+
+def _by_text(shard_bytes: int) -> Callable:
+    """Shards of whole texts' candidate regions: marked runs of windows, and the sorted run of each shard's super-windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, offsets = flat(part.column("text"))
+                column = part.column("w")
+                counts = np.diff(column.offsets.to_numpy())
+                start, n, anchor = (column.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "anchor"))
+                doc = np.repeat(np.arange(part.num_rows), counts)
+                k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
+                begin = offsets[doc] + start
+                end = begin + n + WIDTH - 1
+                before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
+                shard = np.cumsum(end - np.maximum(begin, before)) // shard_bytes
+                edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else np.zeros(0, np.int64)
+                for s, t in zip(edge.tolist(), edge[1:].tolist()):
+                    a, b, d = begin[s:t], end[s:t], doc[s:t]
+                    fresh = np.r_[True, (a[1:] >= np.maximum.accumulate(b)[:-1]) | (d[1:] != d[:-1])]
+                    low = a[fresh]
+                    high = np.maximum.reduceat(b, np.flatnonzero(fresh))
+                    ends = np.cumsum(high - low)
+                    begins = ends - (high - low)
+                    text = data[np.repeat(low - begins, high - low) + np.arange(ends[-1])]
+                    marks, _, _ = repeated_windows(text, ends)
+                    region, at, size = _runs(marks, begins, ends)
+                    own = d[fresh][region]
+                    yield found_rows(k1[own], k2[own], low[region] - offsets[own] + at, size)
+                    digest = digests(data, a, b)
+                    one = distinct_sorted(digest)
+                    yield found_rows(k1[d[one]], k2[d[one]], start[s:t][one], n[s:t][one], digest[one], run_number(k1[d[0]], k2[d[0]], start[s]), anchor[s:t][one])
+
+    return run
+
+
+def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of super-windows that share anchors: marked runs of windows and, for split anchors, the sorted run of the distinct windows."""
     for table in whole_groups(batches, "g"):
         g = table["g"].to_numpy()
         edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
@@ -204,31 +308,18 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blobs = [x.as_buffer() for x in part["bytes"]]
             text = np.frombuffer(b"".join(blobs), np.uint8)
             ends = np.cumsum([len(x) for x in blobs])
-            marks, starts, cls = repeated_windows(text, ends)
             begins = np.concatenate([[0], ends[:-1]])
-            rows = _runs(marks, begins, ends)
-            seg, start, n = rows
-            out = {"kind": [0] * len(seg), "k1": part["k1"].take(pa.array(seg)).to_pylist(), "k2": part["k2"].take(pa.array(seg)).to_pylist(), "start": (part["start"].to_numpy()[seg] + start).tolist(), "n": n.tolist(), "range": [None] * len(seg), "blob": [None] * len(seg)}
+            k1, k2, start = (part[c].to_numpy() for c in ("k1", "k2", "start"))
+            marks, places, cls = repeated_windows(text, ends)
+            seg, at, size = _runs(marks, begins, ends)
+            yield found_rows(k1[seg], k2[seg], start[seg] + at, size)
             if part["split"][0].as_py():
-                first = np.r_[True, cls[1:] != cls[:-1]]
-                print_ = _fingerprints(text, starts[first])
-                by = np.argsort(print_)
-                sorted_prints, where = print_[by], starts[first][by]
-                cuts = np.searchsorted(sorted_prints, (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - 6)))
-                which = np.searchsorted(ends, where, "right")
-                loc = part["start"].to_numpy()[which] + where - begins[which]
-                k1, k2 = part["k1"].to_numpy()[which], part["k2"].to_numpy()[which]
-                for r, (s, t) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)])):
-                    if t > s:
-                        for c, v in (("kind", 1), ("k1", None), ("k2", None), ("start", None), ("n", t - s), ("range", r), ("blob", b"".join(np.ascontiguousarray(v).tobytes() for v in (sorted_prints[s:t], k1[s:t], k2[s:t], loc[s:t])))):
-                            out[c].append(v)
-                    # windows of a class that has several places here are marked already
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("range", pa.int32()), ("blob", pa.binary())]))
-
-
-def _fingerprints(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    h = Hashes(text)
-    return h.of(starts, starts + WIDTH)
+                places = places[np.r_[True, cls[1:] != cls[:-1]]]
+                digest = digests(text, places, places + WIDTH)
+                one = distinct_sorted(digest)
+                places = places[one]
+                seg = np.searchsorted(ends, places, "right")
+                yield found_rows(k1[seg], k2[seg], start[seg] + places - begins[seg], np.ones(len(places)), digest[one], int(g[a]), np.zeros(len(places), np.int64))
 
 
 def _runs(marks: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,33 +335,64 @@ def _runs(marks: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return seg, a - begins[seg], b - a + 1
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per range: look every shard's sorted run up in the others by binary search; windows that two shards have are marked."""
-    from loglattice.llm.minhash import whole_groups
-
-    for table in whole_groups(batches, "r"):
-        r = table["r"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
+def in_two(runs: list[np.ndarray]) -> np.ndarray:
+    """The keys (sorted) that two or more sorted runs hold: runs are merged in pairs, each looked up in the other by binary search."""
+    doubled = [r[1:][r[1:] == r[:-1]] for r in runs]
+    while len(runs) > 1:
+        merged = runs[len(runs) & ~1 :]
+        for a, b in zip(runs[::2], runs[1::2]):
+            at = np.searchsorted(a, b)
+            hit = at < len(a)
+            hit[hit] = a[at[hit]] == b[hit]
+            doubled.append(b[hit])
+            merged.append(np.insert(a, at[~hit], b[~hit]))
+        runs = merged
+    return np.unique(np.concatenate(doubled))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range and group: hit says that another run has the entry too (or that it was hit before), first is true for one entry of each digest."""
+    for table in whole_groups(batches, "m"):
+        m = table["m"].to_numpy()
+        edge = np.flatnonzero(np.r_[True, m[1:] != m[:-1], True])
+        halves = np.stack([table[c].to_numpy().view(np.uint64) ^ SIGN for c in ("d1", "d2")], axis=1)
+        keys = np.ascontiguousarray(halves.astype(">u8")).view("S16").ravel()
+        run = table["run"].to_numpy()
+        rows = table.to_batches()[0] if table.num_rows and len(table.to_batches()) == 1 else table.combine_chunks().to_batches()[0]
+        hit, first = np.zeros(len(m), bool), np.zeros(len(m), bool)
         for a, b in zip(edge.tolist(), edge[1:].tolist()):
-            part = table.slice(a, b - a)
-            runs = [np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for x in part["blob"]]
-            merged = np.zeros(0, np.uint64)
-            doubled = np.zeros(0, np.uint64)
-            for run in runs:
-                prints = run[0].view(np.uint64)
-                at = np.searchsorted(merged, prints)
-                hit = np.zeros(len(prints), bool)
-                near = at < len(merged)
-                hit[near] = merged[at[near]] == prints[near]
-                doubled = np.union1d(doubled, prints[hit])
-                merged = np.insert(merged, at[~hit], prints[~hit])
-            for run in runs:
-                prints = run[0].view(np.uint64)
-                at = np.searchsorted(doubled, prints)
-                hit = np.zeros(len(prints), bool)
-                near = at < len(doubled)
-                hit[near] = doubled[at[near]] == prints[near]
-                yield pa.RecordBatch.from_arrays([pa.array(run[1][hit]), pa.array(run[2][hit]), pa.array(run[3][hit]), pa.array(np.ones(int(hit.sum()), np.int64))], names=["k1", "k2", "start", "n"])
+            own = keys[a:b]
+            cut = np.flatnonzero(np.r_[True, run[a + 1 : b] != run[a : b - 1], True])
+            twice = in_two([own[s:t] for s, t in zip(cut.tolist(), cut[1:].tolist())])
+            at = np.searchsorted(twice, own)
+            held = at < len(twice)
+            held[held] = twice[at[held]] == own[held]
+            hit[a:b] = held
+            first[a + np.unique(own, return_index=True)[1]] = True
+        hit |= rows.column(rows.schema.get_field_index("hit")).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c, _ in FOUND], pa.array(hit), pa.array(first)], names=[*[c for c, _ in FOUND], "hit", "first"])
+
+
+def merged_runs(entries: DataFrame, total: int, name: str) -> DataFrame:
+    """All entries of all runs with hit (its digest is in two runs or more) and first (true for one entry of each digest).
+
+    Ranges of the digest bound a task's distinct digests, groups of runs its
+    copies of one digest; while there are several groups, one entry of each
+    digest and group goes to the next round.
+    """
+    ranges = max(1, -(-total // RANGE_ROWS))
+    r = F.least(F.lit(ranges - 1), F.floor((F.col("d1").cast("double") / 2.0**64 + 0.5) * ranges).cast("long"))
+    left, done = entries.withColumn("hit", F.lit(False)), None
+    groups = -(-entries.select("run").distinct().count() // GROUP_RUNS)
+    while True:
+        groups = max(1, groups)
+        m = r * groups + F.pmod(F.xxhash64("run"), F.lit(groups))
+        out = written(left.withColumn("m", m).repartition("m").sortWithinPartitions("m", "run", "d1", "d2").mapInArrow(Lean(_merged), FOUND_SCHEMA + ", hit boolean, first boolean"), name)
+        if groups == 1:
+            return out if done is None else done.union(out)
+        rest = out.filter("not first")
+        done = rest if done is None else done.union(rest)
+        left, groups = out.filter("first").drop("first"), groups // GROUP_RUNS
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,36 +415,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas)], names=[*rest, "text", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(k1, k2, start, n): runs of n repeated windows in the texts of a key; and the texts of the keys concerned."""
-    spark = keyed.sparkSession
-    rows = written(keyed.select("k1", "k2", "text").filter(F.octet_length("text") >= WIDTH).mapInArrow(Lean(_windows), "k1 long, k2 long, start long, n int, anchor long, one long, two long"), "windows")
-    anchors = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.min("one").alias("lo"), F.max("one").alias("hi"), F.min("two").alias("lo2"), F.max("two").alias("hi2")).filter("c > 1")
+def repeated_spans(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, start, n): runs of n repeated windows in the texts of a key."""
+    rows = written(keyed.select("k1", "k2", "text").filter(F.octet_length("text") >= WIDTH).mapInArrow(Lean(_windows(SEGMENT)), "k1 long, k2 long, start long, n int, anchor long"), "windows")
     # written first: then both sides of the join are plain shuffles, and adaptive execution splits the rows of a hot anchor
-    anchors = written(anchors.select("anchor", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("alike")), "anchors")
-    again = written(rows.join(anchors, "anchor"), "again")
-    touched = written(again.select("k1", "k2").distinct(), "touched")
-    texts = keyed.join(F.broadcast(touched) if touched.count() <= MAX_BROADCAST_KEYS else touched, ["k1", "k2"])
-    texts = written(texts, "texts")
-    unlike = again.filter("not alike")
-    distinct = written(unlike.groupBy("anchor", "one", "two").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "n")).alias("at")), "distinct")
-    same = unlike.join(distinct.filter("c > 1").select("anchor", "one", "two"), ["anchor", "one", "two"], "left_semi").select("k1", "k2", "start", F.col("n").cast("long").alias("n"))
-    whole = again.filter("alike").select("k1", "k2", "start", F.col("n").cast("long").alias("n")).union(same)
-    total = distinct.agg(F.coalesce(F.sum(F.col("at.n") + WIDTH - 1), F.lit(0))).first()[0]
+    anchors = written(rows.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "anchors")
+    by_text = rows.join(anchors, "anchor").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "n", "anchor"))).alias("w"))
+    by_text = written(by_text, "candidates")
+    span = ["k1", "k2", "start", "n"]
+    shards = written(_of_keys(keyed, by_text).select("k1", "k2", "text").join(by_text, ["k1", "k2"]).mapInArrow(Lean(_by_text(SHARD_BYTES)), FOUND_SCHEMA), "shards")
+    inside = shards.filter("run is null").select(*span)
+    entries = shards.filter("run is not null")
+    merged = merged_runs(entries, entries.count(), "merged")
+    across = merged.filter("hit").select(*span)
+
+    several = merged.filter("first").groupBy("anchor").agg(F.count("*").alias("d")).filter("d > 1").withColumn("parts", F.when(F.col("d") > SPLIT, F.ceil(F.col("d") / SPLIT).cast("int")))
+    edges = written(merged.filter("first").join(written(several.select("anchor", "parts"), "several"), "anchor"), "edges")
+    total, split_windows = edges.agg(F.coalesce(F.sum(F.col("n") + WIDTH - 1), F.lit(0)), F.coalesce(F.sum(F.when(F.col("parts").isNotNull(), F.col("n"))), F.lit(0))).first()
     if not total:
-        return whole, texts
+        return inside.union(across)
     n_shards = max(1, -(-int(total) // SHARD_BYTES))
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("d")).filter(F.col("d") > SPLIT).withColumn("parts", F.ceil(F.col("d") / SPLIT).cast("int")).select("anchor", "parts")
-    placed = distinct.join(hot, "anchor", "left").withColumn("split", F.col("parts").isNotNull())
-    shard = F.when(F.col("split"), F.xxhash64("anchor", F.pmod(F.xxhash64("one"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
-    located = placed.select("anchor", "split", "c", shard.alias("g"), F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.col("at.start").alias("start"), F.col("at.n").alias("n"))
-    pieces = texts.select("k1", "k2", F.col("text").cast("binary").alias("raw")).dropDuplicates(["k1", "k2"])
-    segments = located.join(pieces, ["k1", "k2"]).select("g", "split", "k1", "k2", "start", F.substring(F.col("raw"), F.col("start").cast("int") + 1, F.col("n") + WIDTH - 1).alias("bytes"))
-    sharded = segments.repartition("g").sortWithinPartitions("g").mapInArrow(Lean(_shards), "kind int, k1 long, k2 long, start long, n long, range int, blob binary")
-    sharded = written(sharded, "marks")
-    found = sharded.filter("kind = 0").select("k1", "k2", "start", "n")
-    across = sharded.filter("kind = 1").select(F.col("range").alias("r"), "blob").repartition("r").sortWithinPartitions("r").mapInArrow(Lean(_across), "k1 long, k2 long, start long, n long")
-    return whole.union(found).union(across), texts
+    shard = F.when(F.col("parts").isNotNull(), F.xxhash64("anchor", F.pmod(F.col("d2"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
+    wanted = edges.select(*span, shard.alias("g"), F.col("parts").isNotNull().alias("split"))
+    pieces = _of_keys(keyed, written(wanted.select("k1", "k2").distinct(), "edge_keys")).select("k1", "k2", F.col("text").cast("binary").alias("raw"))
+    segments = wanted.join(pieces, ["k1", "k2"]).select("g", "split", *span, F.substring(F.col("raw"), F.col("start").cast("int") + 1, (F.col("n") + WIDTH - 1).cast("int")).alias("bytes")).dropDuplicates(["k1", "k2", "start"])
+    sharded = written(segments.repartition("g").sortWithinPartitions("g").mapInArrow(Lean(_by_anchor), FOUND_SCHEMA), "edge_shards")
+    spans = inside.union(across).union(sharded.filter("run is null").select(*span))
+    return spans.union(merged_runs(sharded.filter("run is not null"), int(split_windows), "edge_merged").filter("hit").select(*span)) if split_windows else spans
+
+
+def _of_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of these keys: a filter by a broadcast while the keys are few, so that other texts are not shuffled."""
+    return keyed.join(F.broadcast(keys.select("k1", "k2")), ["k1", "k2"], "left_semi") if keys.count() <= MAX_BROADCAST_KEYS else keyed
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -330,11 +454,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     added = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     names = [c for c in docs.columns if c not in ("k1", "k2", "starts", "sizes", *added)]
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"))
-    spans, texts = repeated_spans(keyed)
-    by_text = written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("s")).select("k1", "k2", F.col("s.start").alias("starts"), F.col("s.n").alias("sizes")), "spans")
+    spans = repeated_spans(keyed)
+    by_text = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("s")).select("k1", "k2", F.col("s.start").alias("starts"), F.col("s.n").alias("sizes")), "spans")
     rest = [c for c in names if c != "text"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest], "k1 long, k2 long, text string, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    changed = texts.join(by_text, ["k1", "k2"]).select(*rest, "k1", "k2", "text", "starts", "sizes").mapInArrow(Lean(_cut), schema)
+    changed = _of_keys(keyed, by_text).join(by_text, ["k1", "k2"]).select(*rest, "k1", "k2", "text", "starts", "sizes").mapInArrow(Lean(_cut), schema)
     keys = by_text.select("k1", "k2")
     untouched = keyed.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, ["k1", "k2"], "left_anti")
     raw = F.coalesce("text", F.lit(""))

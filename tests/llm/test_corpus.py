@@ -188,3 +188,30 @@ def test_pipeline_stages(spark, tmp_path):
     clean = {x.doc_id: x.text for x in p.without_secrets(spark, at, str(tmp_path)).collect()}
     assert clean[45].startswith("[assign] ") and clean[3] == texts[3]
     assert p.run(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("knobs", [{}, {"RANGE_ROWS": 7, "GROUP_RUNS": 2, "SHARD_BYTES": 600, "MAX_BROADCAST_KEYS": 0}, {"SPLIT": 2, "RANGE_ROWS": 50, "GROUP_RUNS": 3, "SEGMENT": 900, "SHARD_BYTES": 1500}])
+def test_repeats_across_shards(spark, knobs, monkeypatch):
+    """Many copies in many shards, texts of one repeated character, texts that hashes could mix up; also with tiny shards, ranges and groups."""
+    for name, value in knobs.items():
+        monkeypatch.setattr(suffix, name, value)
+    r = random.Random(11)
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "x" * 1000, "y" * 150, "z" * 200]
+    common = [" ".join(words(r, 70)) for _ in range(4)]
+    for i in range(40):
+        own = words(r, r.randrange(120))
+        texts.append(" ".join([*own, *(common[i % 4].split()[r.randrange(8) :] if i % 3 else []), *words(r, 20)]))
+    texts += [texts[20]] * 12 + [None] * 3 + [""] * 2
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    out = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    want = brute_removed([t for _, t in rows])
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out) == Counter((d, *w) for (d, _), w in zip(rows, want))
+
+
+def test_in_two():
+    r = random.Random(2)
+    for k in (1, 2, 3, 8, 13):
+        runs = [np.unique(np.array([b"%02d" % r.randrange(60) for _ in range(20)])) for _ in range(k)]
+        count = Counter(x for run in runs for x in run.tolist())
+        assert suffix.in_two(runs).tolist() == sorted(x for x, n in count.items() if n > 1)

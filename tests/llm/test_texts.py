@@ -240,3 +240,59 @@ def test_flat_handles_nulls_and_slices(n):
     data, offsets = flat(arr)
     assert [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])] == ["é" * n, "x", ""]
     assert np.all(np.diff(offsets) >= 0)
+
+
+def thue_morse(n):
+    """A text of n characters and its complement; hashes that are polynomials modulo a power of two can't tell them apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.fixture(params=["own", "weak"])
+def hashing(request, monkeypatch):
+    """The hash as it is, and one that nearly always collides: results must not depend on it."""
+    if request.param == "weak":
+        from loglattice.llm import flat as f
+
+        monkeypatch.setattr(f, "hashed", lambda view, starts, sizes: (sizes % 3).astype(np.uint64))
+        monkeypatch.setattr(f, "mixed", lambda x: x & np.uint64(7))
+    return request.param
+
+
+def test_equal_hashes_decide_nothing(hashing):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = [t for n in (1024, 2048, 8192) for t in thue_morse(n)] + ["\n".join(thue_morse(2048)), " ".join([*thue_morse(1024), "x y z", *thue_morse(1024)]), *ODD]
+    data, offsets = flat(pa.array(texts))
+    m = repetition.measures(data, offsets)
+    for i, t in enumerate(texts):
+        assert tuple(int(m[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_rules(t), i
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
+    for (_, ids, text), t in zip(own.batch(data, offsets), texts):
+        want = library.encode(t, add_eos=True)
+        assert ids.decode() == " ".join(map(str, want)) and text.decode() == library.decode(want)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bytebpe.ByteBpe(path)
+    plain = [t for t in texts if "<|" not in t]
+    ids, ends = own.encode(*flat(pa.array(plain)))
+    for k, t in enumerate(plain):
+        assert ids[ends[k] : ends[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_slice_classes(hashing):
+    from loglattice.llm.flat import slice_classes, window_classes
+
+    r = random.Random(4)
+    data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(400)), np.uint8)
+    starts = np.array([r.randrange(390) for _ in range(300)])
+    ends, owner = starts + np.array([r.randrange(0, 11) for _ in range(300)]), np.array([r.randrange(3) for _ in range(300)])
+    for of in (None, owner):
+        got = slice_classes(data, starts, ends, of)
+        keys = [(data[a:b].tobytes(), 0 if of is None else int(o)) for a, b, o in zip(starts, ends, owner)]
+        assert all((got[i] == got[j]) == (keys[i] == keys[j]) for i in range(300) for j in range(i))
+    values, of = data[:60].astype(np.int64), np.repeat([0, 1, 2], 20)
+    for n, at, got in window_classes(values, of, (3, 5)):
+        keys = [(tuple(values[i : i + n]), int(of[i])) for i in at]
+        assert len(at) == 3 * (21 - n) and all((got[i] == got[j]) == (keys[i] == keys[j]) for i in range(len(at)) for j in range(i))
