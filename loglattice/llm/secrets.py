@@ -25,6 +25,7 @@ length are scanned whole. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,14 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Items of a block in running results.
+STRIDE = 256
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Largest sum of c*log2(c), in millionths, of a window whose entropy reaches the class's limit in bits.
 LIMITS = {name: round((math.log2(WINDOW) - bits) * WINDOW * 1e6) for name, bits in (("hex", 3.0), ("alnum", 3.5), ("other", 3.75))}
 C_LOG_C = [round(1e6 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1)]
+#: The last one, on paths, is evaluated piece by piece in Spark (`joined_words`): a repeated group would recurse there.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "(?:abcdefgh|ABCDEFGH|01234567|12345678|EXAMPLE|example|xxxx|XXXX)",
@@ -49,18 +53,46 @@ ALLOWED = (
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,hit:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: int, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative step over an array of longs, in blocks, so that no long array is copied for each of its items."""
+    zero_ = F.lit(zero).cast("bigint")
+    grow = lambda acc, v: F.array_append(acc, step(F.element_at(acc, -1), v))
+
+    def of(items: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STRIDE).cast("int")), lambda k: F.slice(items, k * STRIDE + 1, F.lit(STRIDE)))
+        return let(parts, lambda some: F.flatten(F.zip_with(some, F.aggregate(F.transform(some, lambda p: F.aggregate(p, zero_, step)), F.array(zero_), grow), lambda p, base: F.when(p.isNotNull(), F.slice(F.aggregate(p, F.array(base), grow), 2, F.size(p))).otherwise(F.array().cast("array<bigint>")))))
+
+    return let(values, lambda items: F.when(F.size(items) > 0, of(items)).otherwise(F.array().cast("array<bigint>")))
+
+
 def located(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans of all leftmost non-overlapping matches, from the gaps between them; with least, only those whose group has so many characters."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+    none = F.array().cast(SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & (F.length(x["part"]) >= least), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(found: Column) -> Column:
+        ends = running(F.zip_with(found["gap"], found["hit"], lambda g, h: (F.length(g) + F.coalesce(F.length(h), F.lit(0))).cast("bigint")), 0, lambda a, b: a + b)
+        rows = F.arrays_zip(ends.alias("end"), found["hit"].alias("hit"), found["part"].alias("part"))
+        kept = F.filter(rows, lambda x: x["hit"].isNotNull() & (F.length(x["part"]) >= least))
+        return F.transform(kept, lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["hit"].alias("hit")))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    found = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+    return F.when(text.rlike(pattern), let(found, spans)).otherwise(none)
+
+
+def apart(found: Column, base: Column) -> Column:
+    """The spans of `found` that overlap none of `base`: the farthest end of the base spans that begin before a span's end is not beyond its start."""
+    events = F.sort_array(F.concat(F.transform(found, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("base"), F.lit(0).cast("bigint").alias("far"), s.alias("span"))), F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("far"), b.alias("span")))))
+
+    def clear(rows: Column) -> Column:
+        far = running(F.transform(rows, lambda r: r["far"]), 0, lambda a, b: F.greatest(a, b))
+        return F.transform(F.filter(F.zip_with(rows, far, lambda r, f: F.struct(r["base"].alias("base"), f.alias("far"), r["span"].alias("span"))), lambda x: (x["base"] == 0) & (x["far"] <= x["span"]["start"])), lambda x: x["span"])
+
+    return F.when(F.size(base) == 0, found).otherwise(let(events, clear))
 
 
 def lowest_sum(candidate: Column) -> Column:
@@ -84,11 +116,18 @@ def lowest_sum(candidate: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["best"])
 
 
+def joined_words(hit: Column) -> Column:
+    """ALLOWED[-1]: pieces between / _ - with at most one digit each, the last one letters and then at most four digits."""
+    pieces = F.split(hit, "[/_-]")
+    return let(pieces, lambda p: (F.size(p) > 1) & F.element_at(p, -1).rlike("^[A-Za-z]*+[0-9]{0,4}$") & F.forall(F.slice(p, 1, F.size(p) - 1), lambda x: x.rlike("^[A-Za-z]*+[0-9]?+[A-Za-z]*+$")))
+
+
 def suspicious(hit: Column) -> Column:
     limit = F.when(hit.rlike("^[0-9a-fA-F]+$"), LIMITS["hex"]).when(hit.rlike("^[A-Za-z0-9]+$"), LIMITS["alnum"]).otherwise(LIMITS["other"])
     fresh = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
-    for pattern in ALLOWED:
+    for pattern in ALLOWED[:-1]:
         fresh = fresh & ~hit.rlike(pattern)
+    fresh = fresh & ~joined_words(hit)
     return fresh & F.when(fresh, lowest_sum(hit) <= limit)
 
 
@@ -102,7 +141,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_text", body).withColumn("_assign", located(F.col("_text"), ASSIGN, 0, 1, 6)).withColumn("_access", located(F.col("_text"), ACCESS, 1)).withColumn("_hex", located(F.col("_text"), HEX, 2)).withColumn("_found", located(F.col("_text"), CANDIDATE, 3))
     out = out.withColumn("base", F.concat("_assign", "_access", "_hex"))
-    added = F.filter("_found", lambda s: suspicious(s["hit"]) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = F.filter(apart(F.col("_found"), F.col("base")), lambda s: suspicious(s["hit"]))
     out = out.withColumn("added", F.when(F.size("_found") > 0, added).otherwise(F.array().cast(SPAN)))
     return out.withColumn("spans", F.sort_array(F.concat("base", "added")))
 

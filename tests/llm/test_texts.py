@@ -296,3 +296,29 @@ def test_slice_classes(hashing):
     for n, at, got in window_classes(values, of, (3, 5)):
         keys = [(tuple(values[i : i + n]), int(of[i])) for i in at]
         assert len(at) == 3 * (21 - n) and all((got[i] == got[j]) == (keys[i] == keys[j]) for i in range(len(at)) for j in range(i))
+
+
+def test_secrets_in_very_long_texts(spark):
+    many = "token=abcdef1 " * 30_000
+    texts = ["a1/" * 300_000, "a" * 500_000 + "1" * 500_000, many, "x" * 999 + "9/" + "b2_" * 40 + "end77", "Q7" * 100_000, "a1b2/" * 100, "0123/" * 5 + "w" * 30]
+    got = {r.doc_id: r for r in secrets.scan(table(spark, texts)).select("doc_id", "base", F.transform("added", lambda s: F.struct(s["start"], s["end"])).alias("added")).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.start, s.kind, s.end) for s in sorted(got[i].base)] == plain_secrets(t), i
+    assert [len(got[i].added) for i in range(7)] == [0, 0, 0, 0, 0, 0, 0]
+    rows = spark.createDataFrame([(w,) for w in ["a1/b", "a1b2/c", "a/b2c_d77", "x/12345", "x/y1z", "/a", "a-1", "1a1/b", "a+b/c", "abc", "a//b_", ""]], "w string")
+    for r in rows.select("w", secrets.joined_words(F.col("w")).alias("ok")).collect():
+        assert r.ok == bool(re.search(secrets.ALLOWED[-1], r.w)), r.w
+
+
+def test_running_results_and_overlaps(spark):
+    r = random.Random(6)
+    values = [[r.randrange(100) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(v,) for v in values], "v array<bigint>")
+    for row in df.select("v", secrets.running(F.col("v"), 0, lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), 0, lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        assert row.s == np.cumsum(row.v).tolist() and row.m == np.maximum.accumulate(row.v).tolist() if row.v else row.s == row.m == []
+    span = lambda kind: [(a, kind, a + r.randrange(1, 9), "h") for a in sorted(r.sample(range(300), 30))]
+    for _ in range(3):
+        found, base = span(3), span(0) + span(1)
+        df = spark.createDataFrame([(found, base)], f"f {secrets.SPAN}, b {secrets.SPAN}")
+        got = df.select(secrets.apart(F.col("f"), F.col("b")).alias("x")).first().x
+        assert sorted(tuple(s) for s in got) == [s for s in found if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
