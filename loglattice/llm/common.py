@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a new temporary folder where that is unset (local tests)."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a new temporary folder on a local master, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='lattice-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -40,54 +44,82 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def lookup(values: list[int | None], index: Column) -> Column:
-    """values[index] as a long, for a bounded list: one constant, folded by the optimizer."""
-    items = F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",")
-    return F.nullif(F.element_at(items, index + 1), F.lit("")).cast("long")
+def constant(values: list, kind: str) -> Column:
+    """A bounded list as one constant array, folded by the optimizer; no value may hold a comma."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def id_buckets(df: DataFrame, key: str, n_buckets: int, cells: int = 4096) -> tuple[Column, list[int | None]]:
-    """Order-preserving buckets of about equal row counts over an integer key.
+def places_of(borders: list[int], key: Column) -> Column:
+    """How many of the sorted borders are not above the key, by binary search."""
+    if not borders:
+        return F.lit(0)
+    table = constant(borders, "bigint")
+    steps = [1 << k for k in range(len(borders).bit_length() - 1, -1, -1)]
 
-    The key range is cut in `cells` equal cells; their counts (at most `cells`
-    rows reach the driver) decide which neighbouring cells form a bucket. The
-    assignment depends on the data only, so a recomputed task agrees with the
-    first run. Returns the bucket column (from 0, all in use) and each bucket's
-    smallest key. Null keys belong to the first bucket.
+    def step(acc: Column, jump: Column) -> Column:
+        ahead = acc + jump
+        return F.when((ahead <= len(borders)) & (F.get(table, ahead - 1) <= key), ahead).otherwise(acc)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """bucket: a column that numbers order-preserving buckets; count: how many numbers there are; first: is a row its bucket's first by (key, tie); before: the bucket with rows before a row's bucket, cyclically."""
+
+    bucket: Column
+    count: int
+    first: Column
+    before: Column
+
+
+def order_buckets(df: DataFrame, key: str, tie: str, n_buckets: int) -> Buckets:
+    """Buckets of about equal row counts over an integer key (nulls first), then over `tie`, 32 hex digits that are spread evenly.
+
+    Borders are quantiles of the key, so outlying keys do no harm, and nothing
+    is subtracted, so keys may span the whole range of longs. A key that fills
+    buckets on its own (null too) is cut by its ties. What reaches the driver
+    and goes into the plan as constants is a row per bucket. Rows equal in key
+    and tie stay together. The assignment depends on the constants only, so a
+    recomputed task agrees with the first run.
     """
-    low, high, nulls = df.agg(F.min(key), F.max(key), F.count_if(F.col(key).isNull())).first()
-    if low is None:
-        return F.lit(0), [None]
-    width = (high - low) // cells + 1
-    cell = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
-    counts = {r.cell: (r.n, r.low) for r in df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(key).alias("low")).collect()}
-    target = max(1, -(-sum(n for n, _ in counts.values()) // n_buckets))
-    of_cell: list[int | None] = []
-    firsts: list[int | None] = []
-    filled = target
-    for c in range(cells):
-        n, first = counts.get(c, (0, None))
-        if n:
-            if filled >= target:
-                filled = 0
-                firsts.append(None if c == 0 and nulls else first)
-            filled += n
-        of_cell.append(len(firsts) - 1)
-    return lookup(of_cell, cell).cast("int"), firsts
-
-
-def with_next(df: DataFrame, key: str, tie: str, n_buckets: int, columns: list[str]) -> DataFrame:
-    """Add next_<column>: the value in the following row by (key, tie), nulls first; after the last row comes the first.
-
-    One shuffle by order-preserving bucket. The first rows of a bucket are also
-    sent, marked as ghosts, to the bucket before it, so no global sort is needed.
+    shares = [k / n_buckets for k in range(1, n_buckets)] or [0.5]
+    some = df.agg(F.percentile_approx(key, [float(x) for x in shares], 20 * n_buckets).alias("q"), F.count("*").alias("n")).first()
+    found = sorted(some.q or [])
+    # a key that is two quantiles or more gets a bucket of its own
+    borders = sorted({*found, *[b + 1 for b, c in zip(found, found[1:]) if b == c and b < 2**63 - 1]})
+    coarse = F.when(F.col(key).isNull(), F.lit(0)).otherwise(places_of(borders, F.col(key)) + 1)
+    target = max(1, -(-some.n // n_buckets))
+    rows = df.groupBy(coarse.alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
+    parts = [1] * (len(borders) + 2)
+    for r in rows:
+        if r.low == r.high:
+            parts[r.b] = min(4096, max(1, r.n // target))
+    base = [0, *accumulate(parts)]
+    count = F.get(constant(parts, "int"), coarse)
+    spread = F.conv(F.substring(tie, 1, 6), 16, 10).cast("bigint")
+    fine = F.when(count == 1, F.lit(0)).otherwise(F.shiftright(spread * count, 24).cast("int"))
+    bucket = (F.get(constant(base, "int"), coarse) + fine).cast("int")
+    firsts = {r.b: (r.f.k, r.f.t) for r in df.groupBy(bucket.alias("b")).agg(F.min(F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))).alias("f")).collect()}
+    used = sorted(firsts)
+    if not used:
+        return Buckets(F.lit(0), 1, F.lit(False), F.lit(0))
+    number = [-1] * base[-1]
+    for i, b in enumerate(used):
+        number[b] = i
+    dense = F.get(constant(number, "int"), bucket)
+    first = F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.col(tie)) == F.get(constant([f"{'-' if firsts[b][0] is None else firsts[b][0]}|{firsts[b][1]}" for b in used], "string"), dense)
+    return Buckets(dense, len(used), first, F.pmod(dense + (len(used) - 1), F.lit(len(used))).cast("int"))
+
+
+def bucketed_with_next(df: DataFrame, key: str, tie: str, n_buckets: int) -> DataFrame:
+    """df with _b (bucket) and _g: 0 for the row itself, 1 for a copy of the next bucket's first row, so that every row's successor by (key, tie) is in its bucket.
+
+    After the last row comes the first. One shuffle by _b; windows over _b need no other.
     """
-    bucket, firsts = id_buckets(df, key, n_buckets)
-    tagged = df.withColumn("_bucket", bucket)
-    here = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g"))
-    ghost = F.struct(((F.col("_bucket") + len(firsts) - 1) % len(firsts)).cast("int").alias("b"), F.lit(1).alias("g"))
-    copies = F.when(F.col(key).eqNullSafe(lookup(firsts, F.col("_bucket"))), F.array(here, ghost)).otherwise(F.array(here))
-    order = Window.partitionBy("_b").orderBy("_g", F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first())
-    placed = tagged.withColumn("_copy", F.explode(copies)).withColumn("_b", F.col("_copy.b")).withColumn("_g", F.col("_copy.g"))
-    led = placed.select(*df.columns, "_g", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return led.filter("_g = 0").drop("_g")
+    made = order_buckets(df, key, tie, n_buckets)
+    here = F.struct(F.col("_at").alias("b"), F.lit(0).alias("g"))
+    ghost = F.struct(F.col("_before").alias("b"), F.lit(1).alias("g"))
+    tagged = df.withColumns({"_at": made.bucket, "_first": made.first, "_before": made.before})
+    placed = tagged.withColumn("_copy", F.explode(F.when(F.col("_first"), F.array(here, ghost)).otherwise(F.array(here))))
+    return placed.select(*df.columns, F.col("_copy.b").alias("_b"), F.col("_copy.g").alias("_g")).repartition(min(made.count, n_buckets), "_b")

@@ -1,162 +1,181 @@
 """Homomorphic multiset hash of documents (native: DataFrame functions only).
 
-A text's paragraphs are its lines, cut further at full stops so that texts of
-one line still consist of several units. Every unit is hashed to a wide vector
-(the 64 hex digits of its SHA-256), and a document's fingerprint is the sum of
-its units' vectors modulo 2**20 with the number of units modulo 2**32. Sums
-do not depend on the order of units; adding or removing a unit adds or
-subtracts its vector (`combine`), without reading the rest of the text.
-
-Written form: 8 hex digits of the count, then 5 for each of the 64 lanes.
+A text's units are its paragraphs (nonempty lines) and, so that texts of one
+paragraph have a likeness too, the sentences in them (up to and with a full
+stop). Every unit, marked with its kind, is hashed to a wide vector of 64 lanes
+of 16 bits (four SHA-256 digests), and a document's fingerprint is the number
+of its units and the sum of their vectors, all modulo 2**48. Sums do not depend
+on the order of paragraphs; adding or removing units adds or subtracts their
+vectors (`combine`), without reading the rest of the text. Texts that differ in
+more than the order of paragraphs and line ends have other units.
+
+Written form: 12 hex digits of the count, then 12 for each of the 64 lanes. No
+text that a row can hold has 2**32 units, so its lanes never wrap; unions of
+many texts may.
 
 Likeness of two fingerprints estimates 2<a,b>/(<a,a>+<b,b>) of the unit
-multisets: digits less their mean 7.5 are independent with mean 0, so inner
-products of the sums estimate inner products of the multiplicities. It is 1 for
-equal fingerprints (two empty texts too) and cut to 0..1. `fingerprints` takes
-it from the sums before they are reduced modulo 2**20, so for texts of any
-number of units that a row can hold; `likeness` has the written forms only.
+multisets: lanes less their mean are independent with mean 0, so inner products
+of the sums estimate inner products of the multiplicities. It is 1 for equal
+fingerprints (two empty texts too) and cut to 0..1.
 
 Cases: null text counts as empty (count 0, all lanes 0). Rows are kept one to
-one, repeated and tied doc_ids included (ties are ordered by text); null
-doc_ids come first in the order. Extra columns are ignored.
+one, repeated and tied doc_ids included (ties are ordered by the MD5 of the
+text); null doc_ids come first in the order, and ids may span all longs. Extra
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import with_next
+from loglattice.llm.common import bucketed_with_next
+
+LANES, FIELD_HEX, LANE_MAX = 64, 12, (1 << 16) - 1
+FIELD_MASK = (1 << 4 * FIELD_HEX) - 1
+PAIR_MASK, LOW_MASK = (LANE_MAX << 32) | LANE_MAX, (1 << 32) - 1
+SENTENCE = "[^.\\n]+[.]?|[.]"
+#: Units whose 16-bit lanes fit in a sum of 31 bits.
+GROUP = 1 << 15
+
 
-LANES, LANE_HEX, COUNT_HEX = 64, 5, 8
-LANE_MASK, COUNT_MASK = (1 << 4 * LANE_HEX) - 1, (1 << 4 * COUNT_HEX) - 1
-PAIR_MASK = (15 << 32) | 15
-UNIT_BREAK = "[\\n.]"
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def units(text: Column) -> Column:
-    """Nonempty pieces between line ends and full stops."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), UNIT_BREAK), lambda u: u != "")
+    """p and each paragraph, s and each sentence."""
+    whole = F.coalesce(text, F.lit(""))
+    paragraphs = F.transform(F.filter(F.split(whole, "\n"), lambda u: u != ""), lambda u: F.concat(F.lit("p"), u))
+    return F.concat(paragraphs, F.transform(F.regexp_extract_all(whole, F.lit(SENTENCE), F.lit(0)), lambda u: F.concat(F.lit("s"), u)))
+
+
+def packed_lanes(unit: Column) -> Column:
+    """32 longs that hold a unit's 64 lanes, two to a long in 32-bit fields, so plain sums add all lanes."""
+    digest = F.concat(*[F.sha2(F.concat(F.lit(str(k)), unit), 256) for k in range(4)])
+    words = let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.conv(F.substr(d, k * 16 + 1, F.lit(16)), 16, -10).cast("bigint")))
+    return F.flatten(F.transform(words, lambda w: F.array(w.bitwiseAND(F.lit(PAIR_MASK)), F.shiftrightunsigned(w, 16).bitwiseAND(F.lit(PAIR_MASK)))))
 
 
-def packed_lanes(unit: Column) -> list[Column]:
-    """32 longs that hold the 64 hex digits of a unit's SHA-256, two to a long in 32-bit fields, so plain sums add all lanes."""
-    digest = F.sha2(unit, 256)
-    words = [F.conv(F.substring(digest, 16 * w + 1, 16), 16, -10).cast("long") for w in range(4)]
-    return [F.shiftrightunsigned(words[w], 4 * g).bitwiseAND(F.lit(PAIR_MASK)) for w in range(4) for g in range(8)]
+def unpacked(sums: Column) -> Column:
+    """The 64 lanes in order from 32 sums of packed longs."""
+    high, low = lambda v: F.shiftrightunsigned(v, 32), lambda v: v.bitwiseAND(F.lit(LOW_MASK))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: let(F.struct(F.get(sums, 2 * k).alias("a"), F.get(sums, 2 * k + 1).alias("b")), lambda w: F.array(high(w["b"]), high(w["a"]), low(w["b"]), low(w["a"])))))
 
 
-def lane_order() -> list[tuple[int, int]]:
-    """For each hex digit in order: the packed long that holds it and its shift."""
-    out = []
-    for lane in range(LANES):
-        w, back = lane // 16, 15 - lane % 16
-        out.append((8 * w + back % 8, 32 * (back // 8)))
-    return out
+def fields_of(text: Column) -> Column:
+    """The count and the 64 lanes of a text's fingerprint, as an array of longs."""
 
+    def added(some: Column) -> Column:
+        sums = F.aggregate(some, F.array_repeat(F.lit(0).cast("bigint"), LANES // 2), lambda acc, u: F.zip_with(acc, packed_lanes(u), lambda a, b: a + b))
+        return F.concat(F.array(F.size(some).cast("bigint")), let(sums, unpacked))
 
-def lane_sums(packed: list[Column]) -> Column:
-    """The 64 lane sums as an array of longs, from sums of the packed longs; a field of 32 bits holds the sum of 286 million units."""
-    return F.array(*[F.shiftrightunsigned(packed[k], s).bitwiseAND(F.lit(COUNT_MASK)) for k, s in lane_order()])
+    def of(every: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor(F.size(every) / GROUP).cast("int")), lambda k: F.slice(every, k * GROUP + 1, F.lit(GROUP)))
+        return F.when(F.size(every) <= GROUP, added(every)).otherwise(F.aggregate(groups, F.array_repeat(F.lit(0).cast("bigint"), LANES + 1), lambda acc, g: F.zip_with(acc, added(g), lambda a, b: (a + b).bitwiseAND(F.lit(FIELD_MASK)))))
 
+    return let(units(text), of)
 
-def written_form(count: Column, lanes: Column) -> Column:
-    return F.concat(F.lpad(F.lower(F.hex(count.bitwiseAND(F.lit(COUNT_MASK)))), COUNT_HEX, "0"), F.array_join(F.transform(lanes, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(LANE_MASK)))), LANE_HEX, "0")), ""))
 
+def written_form(fields: Column) -> Column:
+    return F.array_join(F.transform(fields, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(FIELD_MASK)))), FIELD_HEX, "0")), "")
 
-def _lanes(fp: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.conv(F.substr(fp, i * LANE_HEX + COUNT_HEX + 1, F.lit(LANE_HEX)), 16, 10).cast("long"))
 
+def read_form(fingerprint: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(LANES)), lambda i: F.conv(F.substr(fingerprint, i * FIELD_HEX + 1, F.lit(FIELD_HEX)), 16, 10).cast("bigint"))
 
-def _count(fp: Column) -> Column:
-    return F.conv(F.substring(fp, 1, COUNT_HEX), 16, 10).cast("long")
+
+def fingerprint(text: Column) -> Column:
+    return written_form(fields_of(text))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the union (sign 1) or difference (sign -1) of two multisets of units, from their fingerprints alone."""
-    lanes = F.zip_with(_lanes(a), _lanes(b), lambda x, y: (x + y * sign).bitwiseAND(F.lit(LANE_MASK)))
-    return written_form(_count(a) + _count(b) * sign, lanes)
+    return written_form(F.zip_with(read_form(a), read_form(b), lambda x, y: x + y * sign))
 
 
-def centred(count: Column, lanes: Column) -> Column:
-    """Twice the lane sums less their mean, so that they stay integers."""
-    return F.zip_with(lanes, F.array_repeat(count * 15, LANES), lambda v, c: v * 2 - c)
+def centred(fields: Column) -> Column:
+    """Twice the lanes less their mean, in doubles."""
+    return F.transform(F.slice(fields, 2, LANES), lambda v: (v * 2 - F.get(fields, F.lit(0)) * LANE_MAX).cast("double"))
 
 
 def _inner(x: Column, y: Column) -> Column:
-    """In doubles: exact below 2**53, and longs would overflow on texts of many equal units."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def near(a: Column, b: Column) -> Column:
+    """Likeness in 0..1 of the fields of two fingerprints whose lanes have not wrapped."""
 
+    def estimate(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        return let(F.struct(_inner(x, y).alias("ab"), (_inner(x, x) + _inner(y, y)).alias("norm")), lambda p: F.when(p["norm"] == 0, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p["ab"] * 2 / p["norm"])), 6)))
 
-def _cosine(same: Column, ab: Column, norm: Column) -> Column:
-    return F.when(same, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ab * 2 / norm)), 6))
+    return F.when(a == b, F.lit(1.0)).otherwise(let(F.struct(centred(a).alias("x"), centred(b).alias("y")), estimate))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness in 0..1 of two written fingerprints; null if they differ and a text has 2**20 / 15 units or more, whose lanes may have wrapped."""
-    x, y = centred(_count(a), _lanes(a)), centred(_count(b), _lanes(b))
-    known = F.greatest(_count(a), _count(b)) * 15 <= LANE_MASK
-    return F.when((a == b) | known, _cosine(a == b, _inner(x, y), _inner(x, x) + _inner(y, y)))
+    """Likeness in 0..1 of two written fingerprints."""
+    return let(F.struct(read_form(a).alias("a"), read_form(b).alias("b")), lambda v: near(v["a"], v["b"]))
+
+
+def with_lanes(df: DataFrame, unit: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` and the 64 lanes _l0.. of a unit, null where it is; in steps, so that each digest and word is computed once."""
+    digests = df.select(*keep, *[F.sha2(F.concat(F.lit(str(k)), F.col(unit)), 256).alias(f"_d{k}") for k in range(4)])
+    words = digests.select(*keep, *[F.conv(F.substring(f"_d{w // 4}", 16 * (w % 4) + 1, 16), 16, -10).cast("bigint").alias(f"_w{w}") for w in range(16)])
+    return words.select(*keep, *[F.shiftrightunsigned(f"_w{k // 4}", 48 - 16 * (k % 4)).bitwiseAND(F.lit(LANE_MAX)).alias(f"_l{k}") for k in range(LANES)])
 
 
-def fingerprints(df: DataFrame, texts: dict[str, Column], keep: list[str], against: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """One row per row of df: `keep`, for every entry of `texts` a fingerprint column of that name, and for every entry of `against` the likeness of two of them.
+def compared(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, and the fields of the fingerprints of each text, its edited text and the next text (fields, edited_fields, next_fields).
 
-    Units are exploded next to a row number only, and summed: each row's units
-    lie in one partition, so the partial sums are final and the shuffle carries
-    one row of sums per text.
+    The edited text has its last floor(n_chars / 2) code points replaced by as
+    many of the next document's first. There is one shuffle, which puts every
+    text into a bucket of the order together with its successor; there units
+    are exploded next to narrow keys and summed, each text's once, and windows
+    over the sums hand them to the document before. Sums are those of
+    `fields_of`, in generated code.
     """
-    names = list(texts)
-
-    def tag(i: int) -> Column:
-        return F.transform(units(F.col(f"_t{i}")), lambda u: F.struct(F.lit(i).alias("w"), u.alias("u")))
-
-    rows = df.select(F.monotonically_increasing_id().alias("_r"), F.struct(*keep).alias("_k"), *[texts[n].alias(f"_t{i}") for i, n in enumerate(names)])
-    none = F.array(*[F.struct(F.lit(i).alias("w"), F.lit(None).cast("string").alias("u")) for i in range(len(names))])
-    long = rows.select("_r", "_k", F.explode(F.flatten(F.array(none, *map(tag, range(len(names)))))).alias("_u")).select("_r", "_k", F.col("_u.w").alias("_w"), F.col("_u.u").alias("_u"))
-    lanes = long.select("_r", "_k", "_w", "_u", *[c.alias(f"_l{k}") for k, c in enumerate(packed_lanes(F.col("_u")))])
-    sums = lanes.groupBy("_r", "_w").agg(F.first("_k").alias("_k"), F.count("_u").alias("_n"), *[F.coalesce(F.sum(f"_l{k}"), F.lit(0)).alias(f"_s{k}") for k in range(32)])
-    by_text = sums.select("_r", "_w", "_k", "_n", lane_sums([F.col(f"_s{k}") for k in range(32)]).alias("_v"))
-    wide = by_text.groupBy("_r").agg(F.first("_k").alias("_k"), *[F.first(F.when(F.col("_w") == i, F.struct("_n", "_v")), ignorenulls=True).alias(f"_f{i}") for i in range(len(names))])
-    texts_out = wide.select("_k.*", *[written_form(F.col(f"_f{i}._n"), F.col(f"_f{i}._v")).alias(n) for i, n in enumerate(names)], *[centred(F.col(f"_f{i}._n"), F.col(f"_f{i}._v")).alias(f"_c{i}") for i in range(len(names))])
-    at = {n: i for i, n in enumerate(names)}
-    products = texts_out.select("*", *[_inner(F.col(f"_c{i}"), F.col(f"_c{i}")).alias(f"_p{i}") for i in range(len(names))], *[_inner(F.col(f"_c{at[a]}"), F.col(f"_c{at[b]}")).alias(f"_q_{o}") for o, (a, b) in (against or {}).items()])
-    return products.select(*keep, *names, *[_cosine(F.col(a) == F.col(b), F.col(f"_q_{o}"), F.col(f"_p{at[a]}") + F.col(f"_p{at[b]}")).alias(o) for o, (a, b) in (against or {}).items()])
-
-
-def edited_documents(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """doc_id, text, next_text, n_chars, edited: the last floor(n_chars / 2) code points replaced by as many of the next document's first."""
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    led = with_next(plain, "doc_id", "text", n_buckets, ["text"])
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = bucketed_with_next(plain.withColumn("_tie", F.md5("text")), "doc_id", "_tie", n_buckets)
+    order = Window.partitionBy("_b").orderBy("_g", F.col("doc_id").asc_nulls_first(), "_tie")
+    led = placed.select("_b", "_g", "doc_id", "text", F.row_number().over(order).alias("_i"), F.lead("text").over(order).alias("_next"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    return led.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)).alias("edited"))
+    rows = led.select("_b", "_g", "_i", "doc_id", "text", n.cast("bigint").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - half), F.substr("_next", F.lit(1), half)).alias("_edited"))
+    keys = ["_b", "_g", "_i", "doc_id", "n_chars", "edited_sha256"]
+    some = lambda w, text: F.transform(F.concat(F.array(F.lit(None).cast("string")), units(text)), lambda u: F.struct(F.lit(w).alias("w"), u.alias("u")))
+    long = rows.withColumn("edited_sha256", F.sha2("_edited", 256)).select(*keys, F.explode(F.when(F.col("_g") == 0, F.concat(some(0, F.col("text")), some(1, F.col("_edited")))).otherwise(some(0, F.col("text")))).alias("_u"))
+    lanes = with_lanes(long.select(*keys, F.col("_u.w").alias("_k"), F.col("_u.u").alias("_u")), "_u", [*keys, "_k"])
+    sums = lanes.groupBy(*keys, "_k").agg(F.count("_l0").alias("_n"), *[F.coalesce(F.sum(f"_l{k}"), F.lit(0)).alias(f"_s{k}") for k in range(LANES)])
+    fields = sums.select(*keys, "_k", F.array("_n", *[f"_s{k}" for k in range(LANES)]).alias("fields"))
+    # in this order come a text, its edited form, the next text
+    turn = Window.partitionBy("_b").orderBy("_i", "_k")
+    handed = fields.select(*keys, "_k", "fields", F.lead("fields", 1).over(turn).alias("edited_fields"), F.lead("fields", 2).over(turn).alias("next_fields"))
+    return handed.filter("_g = 0 and _k = 0").select("doc_id", "n_chars", "edited_sha256", "fields", "edited_fields", "next_fields")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = min(10_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = edited_documents(docs, n).withColumn("edited_sha256", F.sha2("edited", 256))
-    texts = {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited"), "next_fingerprint": F.col("next_text")}
-    out = fingerprints(rows, texts, ["doc_id", "n_chars", "edited_sha256"], {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
-    return out.drop("next_fingerprint")
+    rows = compared(docs, min(10_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.select("doc_id", "n_chars", "edited_sha256", written_form(F.col("fields")).alias("fingerprint"), written_form(F.col("edited_fields")).alias("edited_fingerprint"), near(F.col("fields"), F.col("edited_fields")).alias("near_edited"), near(F.col("fields"), F.col("next_fields")).alias("near_next"))
 
 
-OP2_SQL = """
-with d as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id nulls first, text) as r, count(*) over () as total from documents),
+OP2_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id nulls first, md5(coalesce(text, ''))) as r, count(*) over () as total from documents),
 n as (select a.r, a.doc_id, a.text, length(a.text) as n_chars, b.text as next_text
       from d a join d b on b.r = case when a.r = a.total then 1 else a.r + 1 end),
 e as (select *, substr(text, 1, n_chars - n_chars // 2) || substr(next_text, 1, n_chars // 2) as edited from n),
 t as (select r, 0 as w, text as x from e union all select r, 1, edited from e union all select r, 2, next_text from e),
-u as (select r, w, sha256(p) as h from (select r, w, unnest(regexp_split_to_array(x, '[\\n.]')) as p from t) where p <> ''),
-l as (select r, w, i as lane, sum(instr('0123456789abcdef', substr(h, i, 1)) - 1)::bigint as s, count(*)::bigint as c
-      from u, range(1, 65) as g(i) group by r, w, i),
-z as (select t.r, t.w, g.i as lane, coalesce(l.s, 0) as s, coalesce(l.c, 0) as c
-      from t cross join range(1, 65) as g(i) left join l on l.r = t.r and l.w = t.w and l.lane = g.i),
-f as (select r, w, printf('%08x', any_value(c)) || string_agg(printf('%05x', s % 1048576), '' order by lane) as fp from z group by r, w),
-s as (select a.r, b.w,
-             sum((2 * a.s - 15 * a.c) * (2 * b.s - 15 * b.c))::double as ab,
-             sum((2 * a.s - 15 * a.c) * (2 * a.s - 15 * a.c) + (2 * b.s - 15 * b.c) * (2 * b.s - 15 * b.c))::double as norm
+p as (select r, w, 'p' || p as u from (select r, w, unnest(string_split(x, chr(10))) as p from t) where p <> ''
+      union all select r, w, 's' || unnest(regexp_extract_all(x, '{SENTENCE}', 0)) from t),
+u as (select r, w, sha256('0' || u) || sha256('1' || u) || sha256('2' || u) || sha256('3' || u) as h from p),
+l as (select r, w, i as lane, sum(('0x' || substr(h, 4 * i - 3, 4))::bigint)::bigint as s, count(*)::bigint as c
+      from u, range(1, {LANES + 1}) as g(i) group by r, w, i),
+z as (select t.r, t.w, g.i as lane, coalesce(l.s, 0) as s, coalesce(l.c, 0) as c, (2 * coalesce(l.s, 0) - {LANE_MAX} * coalesce(l.c, 0))::double as v
+      from t cross join range(1, {LANES + 1}) as g(i) left join l on l.r = t.r and l.w = t.w and l.lane = g.i),
+f as (select r, w, printf('%012x', any_value(c)) || string_agg(printf('%012x', s), '' order by lane) as fp from z group by r, w),
+s as (select a.r, b.w, sum(a.v * b.v) as ab, sum(a.v * a.v + b.v * b.v) as norm
       from z a join z b on a.r = b.r and a.lane = b.lane where a.w = 0 group by a.r, b.w),
 k as (select s.r, s.w, case when fa.fp = fb.fp then 1.0::double when norm = 0 then 0.0::double else round(least(1.0, greatest(0.0, ab * 2 / norm)), 6) end as near
       from s join f fa on fa.r = s.r and fa.w = 0 join f fb on fb.r = s.r and fb.w = s.w)

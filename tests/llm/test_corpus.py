@@ -1,12 +1,15 @@
 """Operators on the whole corpus against brute force on small tables."""
 
 import hashlib
+import io
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loglattice.llm import components, minhash, suffix, warc
 
@@ -158,13 +161,40 @@ def test_warc_round_trip(spark, tmp_path):
         manifest = warc.write(warc.classified(pages), folder, 3, file_bytes=200)
         runs.append(sorted((r.file, r.sha256, r.records) for r in manifest.collect()))
         assert not list(tmp_path.glob(f"w{k}/.tmp-*"))
-        out = warc.read(manifest, folder)
+        out = warc.resolved(warc.read(manifest, folder))
         got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.payload_digest == hashlib.sha256((dict((a, c) for a, _, c, _ in rows)[r.page_id] or "").encode()).hexdigest()) for r in out.collect())
         assert got == Counter([(1, 203, "response", None, True)] * 2 + [(3, 203, "revisit", 1, True), (None, 203, "revisit", 1, True), (2, 0, "response", None, True), (7, 4, "response", None, True), (8, 4, "response", None, True)])
         assert {bytes(r.payload) for r in out.filter("record_type = 'response' and page_id = 7").collect()} == {b"tiny"}
     assert runs[0] == runs[1] and len(runs[0]) > 1
     empty = warc.write(warc.classified(pages.filter("false")), f"file://{tmp_path}/e", 2)
-    assert empty.count() == 0 and warc.read(empty, f"file://{tmp_path}/e").count() == 0
+    assert empty.count() == 0 and warc.resolved(warc.read(empty, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_warc_reading_finds_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(-(2**63), "http://a/", "x" * 300), (2**63 - 1, "http://b/", "x" * 300), (0, None, "y" * 5000), (None, None, "")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / ".tmp-lost").write_bytes(b"of an attempt that was lost")
+    manifest = warc.write(warc.classified(pages), folder, 3)
+    assert not list(tmp_path.glob("w/.tmp-*"))
+    records = warc.read(manifest, folder)
+    assert {(r.page_id, r.payload_bytes) for r in warc.resolved(records).collect()} == {(-(2**63), 300), (2**63 - 1, 300), (0, 5000), (None, 0)}
+    with pytest.raises(Exception, match="no response"):
+        warc.resolved(records.filter("page_id <> -9223372036854775808")).collect()
+    with pytest.raises(Exception, match="differs from the manifest"):
+        warc.read(manifest.withColumn("sha256", F.lit("0")), folder).collect()
+    raw = zlib.decompress(warc.member(warc.record(1, None, b"abc", hashlib.sha256(b"abd").hexdigest(), "response", None)), 31)
+    (tmp_path / "w" / "bad.warc.gz").write_bytes(warc.member(raw))
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read(spark.createDataFrame([("bad.warc.gz", "")], "file string, sha256 string"), folder).collect()
+
+
+def test_members_of_small_records():
+    raw = [b"%d" % i * (i % 50) for i in range(4000)]
+    packed = b"".join(map(warc.member, raw))
+    assert list(warc.members(io.BytesIO(packed), buffer=10_000)) == raw
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(packed[:-5])))
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -156,43 +156,73 @@ def test_secrets(spark):
     assert clean[2].text == "é [assign] and token=abc" and clean[6].text == "🤦 see [entropy] here" and clean[0].text is None and clean[6].spans == 3
 
 
+def plain_fields(text):
+    """Count and lanes of a text's fingerprint, unwrapped."""
+    units = Counter("p" + u for u in (text or "").split("\n") if u)
+    units.update("s" + u for u in re.findall("[^.\n]+[.]?|[.]", text or ""))
+    out = np.zeros(65, np.int64)
+    for u, n in units.items():
+        digest = "".join(hashlib.sha256(f"{k}{u}".encode()).hexdigest() for k in range(4))
+        out += n * np.array([1, *[int(digest[4 * k : 4 * k + 4], 16) for k in range(64)]])
+    return out
+
+
+def plain_near(x, y):
+    a, b = (2.0 * f[1:] - 65535.0 * f[0] for f in (plain_fields(x), plain_fields(y)))
+    norm = a @ a + b @ b
+    return 1.0 if (plain_fields(x) == plain_fields(y)).all() else min(1.0, max(0.0, 2 * (a @ b) / norm)) if norm else 0.0
+
+
 def test_fingerprints(spark):
-    docs = spark.createDataFrame([(5, "a\nb\nc"), (1, "c\nb\na"), (1, "c\nb\na"), (7, None), (None, "x. y"), (9, "")], "doc_id long, text string")
-    texts = {"fp": F.col("text")}
-    out = fingerprint.fingerprints(docs, texts, ["doc_id"]).collect()
-    by = {r.doc_id: r.fp for r in out}
-    assert len(out) == 6 and by[5] == by[1] and by[7] == by[9] == "0" * (8 + 5 * 64)
-    pair = spark.createDataFrame([("a\nb", "c", "a\nb\nc")], "x string, y string, z string")
-    r = fingerprint.fingerprints(pair, {"fx": F.col("x"), "fy": F.col("y"), "fz": F.col("z")}, ["x"]).select("*", fingerprint.combine(F.col("fx"), F.col("fy")).alias("added"), fingerprint.combine(F.col("fz"), F.col("fy"), -1).alias("less"), fingerprint.likeness(F.col("fx"), F.col("fx")).alias("one")).first()
-    assert r.added == r.fz and r.less == r.fx and r.one == 1.0
-
-
-def test_likeness_of_texts_whose_lanes_wrap(spark):
-    def sums(text):
-        return sum(n * (2.0 * np.array([int(c, 16) for c in hashlib.sha256(u.encode()).hexdigest()]) - 15) for u, n in Counter(text.split("\n")).items() if u)
-
-    many = ["\n".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 150_000), ("b", 200_000))]
-    pairs = [tuple(many), ("ok\n" * 90_000, "ok\n" * 45_000), ("ok\n" * 90_000, many[0])]
-    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
-    out = fingerprint.fingerprints(df, {"fx": F.col("x"), "fy": F.col("y")}, ["i"], {"near": ("fx", "fy")})
-    got = {r.i: (r.near, r.written) for r in out.withColumn("written", fingerprint.likeness(F.col("fx"), F.col("fy"))).collect()}
-    for i, (x, y) in enumerate(pairs):
-        a, b = sums(x), sums(y)
-        assert got[i] == (pytest.approx(min(1, max(0, 2 * a @ b / (a @ a + b @ b))), abs=2e-6), None)
-    assert got[0][0] < 0.5 and got[1][0] == 0.8
-
-
-def test_next_document_is_cyclic(spark):
-    rows = [(i * 37 % 101, f"t{i}") for i in range(101)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: (r.text, r.next_text, r.edited) for r in fingerprint.edited_documents(docs, 8).collect()}
-    order = sorted(rows)
+    texts = ["a\nb\nc", "c\nb\na", "c\n\nb\na\n", None, "", "x. y.", "x.\ny.", "..a", "é. ü\n.\n" * 50, "a.b", "a\nb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.fp for r in df.select("i", fingerprint.fingerprint(F.col("t")).alias("fp")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "".join(f"{v:012x}" for v in plain_fields(t)), i
+    assert got[0] == got[1] == got[2] and got[5] != got[6] and got[9] != got[10]
+    pair = spark.createDataFrame([("a\nb.", "c", "a\nb.\nc")], "x string, y string, z string").select(*[fingerprint.fingerprint(F.col(c)).alias(c) for c in "xyz"])
+    r = pair.select("x", "z", fingerprint.combine(F.col("x"), F.col("y")).alias("added"), fingerprint.combine(F.col("z"), F.col("y"), -1).alias("less"), fingerprint.likeness(F.col("x"), F.col("x")).alias("one"), fingerprint.likeness(F.col("x"), F.col("z")).alias("some")).first()
+    assert r.added == r.z and r.less == r.x and r.one == 1.0 and r.some == pytest.approx(plain_near("a\nb.", "a\nb.\nc"), abs=2e-6)
+
+
+def test_likeness_of_very_long_texts(spark):
+    many = ["\n".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 40_000), ("b", 20_000))]
+    pairs = [tuple(many), ("ok\n" * 40_000, "ok\n" * 20_000), ("ok\n" * 40_000, many[0]), ("x" * 10**6, "y" * 10**6)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string").withColumns({c: fingerprint.fingerprint(F.col(c)) for c in "xy"})
+    for r in df.withColumn("near", fingerprint.likeness(F.col("x"), F.col("y"))).collect():
+        assert r.x == "".join(f"{v:012x}" for v in plain_fields(pairs[r.i][0]))
+        assert r.near == pytest.approx(plain_near(*pairs[r.i]), abs=2e-6)
+        assert r.i != 1 or r.near == 0.8
+
+
+@pytest.mark.parametrize("ids", [[i * 37 % 101 for i in range(101)], [-(2**63), 2**63 - 1, *range(60)], [5] * 90 + [*range(20)], [None] * 40 + [2**62] * 40 + [-3, 4], [7], [None]])
+def test_next_document_is_cyclic(spark, ids):
+    rows = [(d, f"text {i}. of\n{'é' * (i % 9)}") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fields string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    want = Counter()
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
         n = len(t)
-        assert out[i] == (t, after, t[: n - n // 2] + after[: n // 2])
-    assert fingerprint.edited_documents(docs.filter("false"), 8).count() == 0
-    one = fingerprint.edited_documents(docs.limit(1), 8).first()
-    assert one.next_text == one.text
+        edited = t[: n - n // 2] + after[: n // 2]
+        want[(i, n, hashlib.sha256(edited.encode()).hexdigest(), *[tuple(plain_fields(x).tolist()) for x in (t, edited, after)])] += 1
+    for n_buckets in (1, 8):
+        out = fingerprint.compared(docs, n_buckets).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, tuple(r.fields), tuple(r.edited_fields), tuple(r.next_fields)) for r in out) == want
+    assert fingerprint.compared(docs.filter("false"), 8).count() == 0
+
+
+def test_buckets_keep_the_order_and_split_hot_keys(spark):
+    from loglattice.llm.common import order_buckets
+
+    ids = [10**18, -(2**63), 2**63 - 1, None, None, *[77] * 600, *range(1000, 1600)]
+    df = spark.createDataFrame([(d, hashlib.md5(str(i).encode()).hexdigest()) for i, d in enumerate(ids)], "k long, t string")
+    made = order_buckets(df, "k", "t", 12)
+    rows = df.select("k", "t", made.bucket.alias("b"), made.first.alias("f")).collect()
+    rows.sort(key=lambda r: (r.k is not None, r.k or 0, r.t))
+    assert [r.b for r in rows] == sorted(r.b for r in rows)
+    sizes = Counter(r.b for r in rows)
+    assert sorted(sizes) == list(range(made.count)) and max(sizes.values()) <= 3 * len(ids) // 12
+    assert [r.f for r in rows] == [i == 0 or r.b != rows[i - 1].b for i, r in enumerate(rows)]
 
 
 def test_url_rules(spark):
@@ -208,6 +238,21 @@ def test_url_rules(spark):
     assert {r.page_id for r in shuffled.filter("verdict = 'block'").collect()} == {3, 12}
 
 
+def test_url_rules_with_clashing_names_prefixes_and_empty_tables(spark, monkeypatch):
+    names = ["row", "r", "digest", "rules", "best", "_r", "_e", "_digest", "_prefix", "rule", "Key"]
+    pages = spark.createDataFrame([(1, "http://a.net/", *names), (None, "http://b.org/x", *names), (None, None, *names)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names))
+    rules = urlrules.rule_frame(spark, urlrules.RULES)
+    for size in (8, 0, 1):
+        # no or one digit of the digest as the join key: prefixes collide, the full digest decides
+        monkeypatch.setattr(urlrules, "KEY", size)
+        out = urlrules.judged(pages, rules).collect()
+        assert sorted((r.page_id or 0, r.host, r.rule, r.verdict) for r in out) == [(0, "", None, "allow"), (0, "b.org", None, "allow"), (1, "a.net", "net/", "block")]
+        assert all(r[n] == n for r in out for n in names if n != "rule")
+    plan = urlrules.judged(pages, rules, max_broadcast=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (key" in plan and "digest" not in plan.split("Join LeftOuter,")[1].split("\n")[0]
+    assert urlrules.judged(pages.filter("false"), rules).count() == 0
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark):
     words = [f"w{i}" for i in range(200)]
     rows, labels = [], []
