@@ -5,17 +5,17 @@ path starts with the rule's path. Each URL is expanded into host-suffix and
 path-prefix expressions, only for the numbers of labels and the path lengths
 that some rule has, so the number of expressions is bounded by the rules and
 nothing that fits is missed. The first 8 hex digits of an expression's SHA-256
-are the join key; the full digest is compared after the join, and of several
-rules the longest wins (then the longer host, then block before allow). URLs
+are the only join key; of the rules that share a prefix, those of the same full
+digest are kept after the join, and of several rules the longest wins (then the longer host, then block before allow). URLs
 without a rule get `default`.
 
 The rules are broadcast while they are at most `max_broadcast`; beyond that
 the same join is shuffled.
 
 Cases: a null URL or one without :// has an empty host and path and fits no
-rule; rows are kept one to one, repeated rows included; extra columns pass
-through unless they are named host, path, rule or verdict, which are replaced.
-With no rules every URL gets the default.
+rule; rows are kept one to one, repeated rows included; extra columns of any
+name pass through unless they are named host, path, rule or verdict, which are
+replaced. With no rules every URL gets the default; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,20 +48,20 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", default: str =
     """Add host, path, rule and verdict to every row."""
     expr = F.concat("host", "path")
     known = rules.groupBy("host", "path").agg(F.max_by("action", F.col("action") == "block").alias("action"))
-    known = known.select(F.sha2(expr, 256).alias("_full"), F.substring(F.sha2(expr, 256), 1, KEY).alias("_key"), F.struct(F.length(expr).alias("size"), F.length("host").alias("host_size"), F.col("action").alias("action"), expr.alias("rule")).alias("_rule"))
+    known = known.select(F.struct(F.sha2(expr, 256).alias("digest"), F.length(expr).alias("size"), F.length("host").alias("host_size"), F.col("action").alias("action"), expr.alias("rule")).alias("rule"))
+    # one row for each prefix, so that a prefix that two rules share multiplies no rows
+    known = known.groupBy(F.substring("rule.digest", 1, KEY).alias("key")).agg(F.collect_list("rule").alias("rules"))
     shape = rules.agg(F.count("*").alias("n"), F.collect_set(F.size(F.split("host", "\\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
-    base = pages.drop("host", "path", "rule", "verdict")
-    rows = base.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_r": F.monotonically_increasing_id()})
+    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # the caller's columns stay in a struct meanwhile, so no name of theirs can clash
+    rows = pages.select(F.struct(*rest).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("r"))
     if not shape.n:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).drop("_r")
-    asked = rows.withColumn("_e", F.explode_outer(expressions(F.col("host"), F.col("path"), sorted(shape.labels), sorted(shape.lengths)))).withColumn("_digest", F.sha2("_e", 256))
-    asked = asked.withColumn("_prefix", F.substring("_digest", 1, KEY))
-    side = F.broadcast(known) if shape.n <= max_broadcast else known
-    found = asked.join(side, (F.col("_prefix") == F.col("_key")) & (F.col("_digest") == F.col("_full")), "left")
-    best = F.max(F.struct(F.col("_rule.size"), F.col("_rule.host_size"), F.col("_rule.action").alias("action"), F.col("_rule.rule").alias("rule"))).alias("_best")
-    kept = [c for c in rows.columns if c != "_r"]
-    out = found.groupBy("_r").agg(*[F.first(c).alias(c) for c in kept], best)
-    return out.select(*kept, F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
+        return rows.select(*[F.col("row")[c].alias(c) for c in rest], "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    asked = rows.withColumn("digest", F.explode_outer(F.transform(expressions(F.col("host"), F.col("path"), sorted(shape.labels), sorted(shape.lengths)), lambda e: F.sha2(e, 256)))).withColumn("key", F.substring("digest", 1, KEY))
+    found = asked.join(F.broadcast(known) if shape.n <= max_broadcast else known, "key", "left")
+    exact = F.array_max(F.transform(F.filter("rules", lambda x: x["digest"] == F.col("digest")), lambda x: F.struct(x["size"], x["host_size"], x["action"].alias("action"), x["rule"].alias("rule"))))
+    out = found.groupBy("r").agg(F.first("row").alias("row"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(exact).alias("best"))
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def rule_frame(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
