@@ -76,7 +76,12 @@ def test_packing_is_gapless_and_complete(spark):
     assert packing.pack(table(spark, []), path).count() == 0
 
 
-def test_bin_completion_beats_or_equals_the_exact_optimum():
+def plan_of(plan, capacity):
+    assert all(sum(p) <= capacity for p, _ in plan)
+    return Counter(n for p, t in plan for n in p * t), sum(t for _, t in plan)
+
+
+def test_bin_completion_equals_the_exact_optimum():
     from functools import lru_cache
 
     def optimum(sizes, cap):
@@ -88,14 +93,41 @@ def test_bin_completion_beats_or_equals_the_exact_optimum():
 
         return next(b for b in range(1, len(sizes) + 1) if fits(0, (cap,) * b))
 
-    for seed in range(25):
+    for seed in range(150):
+        r = random.Random(seed)
+        low = r.choice([1, 3, 6])
+        sizes = [r.randint(low, 20) for _ in range(r.randint(1, 11))]
+        histogram = dict(Counter(sizes))
+        want = optimum(sizes, 20)
+        plan, n, bound = packing.packing_plan(histogram, 20)
+        assert plan_of(plan, 20) == (Counter(sizes), n) and bound <= want and n == want, (seed, sizes)
+        assert plan_of(packing.best_fit(histogram, 20), 20)[0] == Counter(sizes)
+    assert packing.packing_plan({}, 20) == ([], 0, 0)
+
+
+def test_fillings_are_undominated_and_in_order():
+    counts = [0] * 30
+    for n in (2, 3, 3, 5, 7, 7, 11):
+        counts[n] += 1
+    found = list(packing.fillings(13, 11, counts, 13))
+    assert found[0] == (0, [11, 2]) and [w for w, _ in found] == sorted(w for w, _ in found)
+    assert all(sum(f) == 13 - w for w, f in found) and all(max(Counter(f)[n] - counts[n] for n in f) <= 0 for _, f in found)
+    assert {tuple(f) for w, f in found if not w} == {(11, 2), (7, 3, 3), (5, 3, 3, 2)}
+    for w, f in found:
+        left = Counter({n: c for n, c in enumerate(counts) if c}) - Counter(f)
+        inner = {sum(f[i] for i in range(len(f)) if k >> i & 1) for k in range(1 << len(f))}
+        assert not any(part < m <= part + w for m in left for part in inner), f
+
+
+def test_bin_completion_is_better_than_best_fit_on_large_pieces():
+    gained = 0
+    for seed in range(5):
         r = random.Random(seed)
-        sizes = [r.randint(1, 20) for _ in range(9)]
-        histogram = {n: sizes.count(n) for n in set(sizes)}
-        plans = [f(histogram, 20) for f in (packing.completed, packing.best_fit)]
-        for plan in plans:
-            assert sorted(n for p, t in plan for n in p * t) == sorted(sizes) and all(sum(p) <= 20 for p, _ in plan)
-        assert min(sum(t for _, t in p) for p in plans) <= optimum(sizes, 20) + 1
+        sizes = [r.randint(300, 1100) for _ in range(400)]
+        plan, n, bound = packing.packing_plan(dict(Counter(sizes)), 2048)
+        assert plan_of(plan, 2048) == (Counter(sizes), n) and bound <= n <= bound + 4
+        gained += plan_of(packing.best_fit(dict(Counter(sizes)), 2048), 2048)[1] - n
+    assert gained >= 5
 
 
 def test_bin_completion_on_many_tiny_pieces():
