@@ -152,13 +152,8 @@ def gap_match(template: list, row: list) -> list[list] | None:
 
 
 def folded_template(rows: list[list]) -> list:
-    """LCS template of all members of a cluster, consecutive wildcards collapsed."""
+    """LCS template of all members of a cluster, consecutive wildcards collapsed. Gaps stay: a wildcard of the template equals nothing in a row."""
     template = list(rows[0])
     for row in rows[1:]:
-        merged = lcs([t for t in template if t != WILD], row)[1] if WILD in template else lcs(template, row)[1]
-        keep_gaps = []
-        for t in merged:
-            if t != WILD or not keep_gaps or keep_gaps[-1] != WILD:
-                keep_gaps.append(t)
-        template = keep_gaps
+        template = lcs(template, row)[1]
     return template

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.operators.order import hash_rank
+from loglattice.sources.scratch import scratch_path, shared_dir
 
 SAMPLE, LEAST, AHEAD = 100, 3, 32
 
@@ -107,13 +107,8 @@ def iterative_clusters(vectors: DataFrame, key: str, vec: str, threshold: float,
     cluster -1.
     """
     spark = vectors.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='lattice-')}"
-    spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/clusters-{uuid.uuid4().hex[:12]}"
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    path = scratch_path(spark, "clusters")
     left, base, number, vain, ahead = vectors.select(key, F.col(vec).cast("array<double>").alias(vec)).checkpoint(), 0, 0, 0, 1
     n = left.count()
     while vain <= fruitless:

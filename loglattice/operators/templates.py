@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from loglattice.functions import text as X
 
 WILD = X.WILDCARD
-SEPARATORS = {" ", ":", ",", "="}
 MAX_TEMPLATES = 1_000
 
 
@@ -37,15 +36,28 @@ def templates_of(lines: DataFrame, least_support: int = 1) -> DataFrame:
 
 
 def numbered(templates: DataFrame) -> DataFrame:
-    """Ids in order of support, then text. Templates are bounded by MAX_TEMPLATES, which makes one window task enough."""
+    """Ids in order of support, then text. Of more than MAX_TEMPLATES one too many is kept, so that `bounded` and the matcher refuse them; the bound makes one window task enough."""
     from pyspark.sql import Window
 
-    best = templates.withColumn("text", F.array_join("tokens", "")).orderBy(F.col("support").desc(), "text").limit(MAX_TEMPLATES)
+    best = templates.withColumn("text", F.array_join("tokens", "")).orderBy(F.col("support").desc(), "text").limit(MAX_TEMPLATES + 1)
     slots = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == WILD)
     ranked = best.withColumn("eid", F.row_number().over(Window.orderBy(F.col("support").desc(), "text")).cast("int"))
     return ranked.select("eid", "tokens", F.size("tokens").alias("n_tokens"), slots.alias("slots"), "support", "text")
 
 
+def bounded(templates: DataFrame) -> DataFrame:
+    """The templates as a local table, mined once; more than MAX_TEMPLATES are refused."""
+    rows = templates.collect()
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    return templates.sparkSession.createDataFrame(rows, templates.schema)
+
+
+def separates(token: str) -> bool:
+    """Blank runs, tabs, line ends, colons, commas, equals signs."""
+    return token.isspace() or token in (":", ",", "=")
+
+
 def pruned(templates: DataFrame, least_support: int = 2) -> DataFrame:
     """Without templates seen less often."""
     return templates.filter(F.col("support") >= least_support)
@@ -77,15 +89,15 @@ class TreeTrainer:
         for t, x in zip(template, tokens):
             if t == WILD:
                 wild += 1
-            elif t != x and t in SEPARATORS:
+            elif t != x and separates(t):
                 return -1.0, 0
             else:
-                equal += t == x and t not in SEPARATORS
+                equal += t == x and not separates(t)
         return equal / max(1, len(tokens)), wild
 
     def leaf(self, tokens: list[str], grow: bool) -> Branch | None:
         node = self.by_length.setdefault(len(tokens), Branch()) if grow else self.by_length.get(len(tokens))
-        for token in tokens[: self.depth]:
+        for token in tokens[: min(self.depth, len(tokens) - 1)]:  # not the last token, so that short lines can merge in it
             if node is None:
                 return None
             if token in node.children:

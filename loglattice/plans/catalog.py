@@ -25,6 +25,7 @@ from loglattice.operators import windows as W
 from loglattice.operators.order import hash_rank, with_position
 from loglattice.sources import formats
 from loglattice.sources.lines import LINES_SQL, assemble_records, event_lines, with_blocks
+from loglattice.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,11 +74,13 @@ sl as (select rec_no, eid, unnest(range(len(vals))) as slot, unnest(vals) as val
        (select mt.rec_no, mt.eid, list_transform(list_filter(list_zip(tp.tokens, mt.toks), lambda z: z[1] = '<*>'), lambda z: z[2]) as vals from mt join tp on tp.eid = mt.eid))"""
 HEADER_SQL = f"""{LINES_SQL},
 hv as (select rec_no, unnest(range(3)) as field, unnest(regexp_extract_all(h, '[^ \\t|]+', 0)) as value, unnest(regexp_extract_all(h, '[ \\t|]+', 0)) as delim
-       from (select rec_no, regexp_extract(line, '^((?:[^ \\t|]+[ \\t|]+){{3}})', 1) as h from lines where rec_no < 5000) where h <> ''),
+       from (select rec_no, regexp_extract(line, '^((?:[^ \\t|]+[ \\t|]+){{3}})', 1) as h from lines qualify h <> '' and row_number() over (partition by h <> '' order by rec_no) <= 5000)),
 pt as (select *, regexp_extract_all(value, '([0-9]+|[^0-9]+)', 1) as parts from hv),
 pc as (select field, len(parts) as n_parts, count(*) as n from pt group by 1, 2),
 pm as (select field, n_parts, n, sum(n) over (partition by field) as total, row_number() over (partition by field order by n desc, n_parts) as k from pc)"""
 
+ALL_HEADERS_SQL = HEADER_SQL.replace("qualify h <> '' and row_number() over (partition by h <> '' order by rec_no) <= 5000", "where h <> ''")
+
 
 @query(f"with {LINES_SQL} select {SIG} as sig, count(*) as n from lines group by 1")
 def template_counts(spark, d):
@@ -127,13 +130,13 @@ def header_layout(spark, d):
     return H.layout(H.header_values(lines(spark, d), HEAD))
 
 
-@query(f"""with {HEADER_SQL}, m as (select field, delim, count(*) as n, row_number() over (partition by field order by count(*) desc, min(rec_no)) as k from hv group by 1, 2)
+@query(f"""with {ALL_HEADERS_SQL}, m as (select field, delim, count(*) as n, row_number() over (partition by field order by count(*) desc, min(rec_no)) as k from hv group by 1, 2)
 select field::int as field, delim, n from m where k = 1""")
 def modal_delimiter(spark, d):
-    return H.modal_delimiters(H.header_values(lines(spark, d), HEAD))
+    return H.modal_delimiters(H.header_values(lines(spark, d), HEAD, None))
 
 
-@query(f"""with {HEADER_SQL.replace(" where rec_no < 5000", "")}, e as (select rec_no, field, unnest(range(len(parts))) as part, unnest(parts) as p from pt)
+@query(f"""with {ALL_HEADERS_SQL}, e as (select rec_no, field, unnest(range(len(parts))) as part, unnest(parts) as p from pt)
 select rec_no, field::int as field, part::int as part, p::bigint as number from e where regexp_matches(p, '^[0-9]{{1,18}}$')""")
 def header_numbers(spark, d):
     return H.header_numbers(H.header_values(lines(spark, d), HEAD, None))
@@ -154,13 +157,13 @@ def template_merge(spark, d):
 @query(f"with {TEMPLATES_SQL} select rec_no, coalesce(eid, 0)::int as eid from mt")
 def template_match(spark, d):
     log = lines(spark, d)
-    return M.matched(log, T.templates_of(log)).select("rec_no", "eid")
+    return M.matched(log, T.bounded(T.templates_of(log))).select("rec_no", "eid")
 
 
 @query(f"with {SLOTS_SQL} select rec_no, eid::int as eid, slot::int as slot, value from sl")
 def slot_values(spark, d):
     log = lines(spark, d)
-    return M.slot_values(M.matched(log, T.templates_of(log)))
+    return M.slot_values(M.matched(log, T.bounded(T.templates_of(log))))
 
 
 @query(f"""with {DOC_LINES}, h as (select line, regexp_extract(line, '^((?:[^ \\t|]+[ \\t|]+){{2}})', 1) as head from dl),
@@ -189,14 +192,15 @@ def singleton_templates(spark, d):
 def dense_ids(spark, d):
     from pyspark.sql import Window
 
-    counts = T.template_counts(lines(spark, d)).orderBy(F.desc("n"), "sig").limit(T.MAX_TEMPLATES)
+    # a bounded table: more signatures than templates may be are refused
+    counts = T.bounded(T.template_counts(lines(spark, d)).limit(T.MAX_TEMPLATES + 1))
     return counts.select("sig", (F.row_number().over(Window.orderBy("sig")) - 1).alias("id"), "n")
 
 
 def slot_columns(spark, d) -> DataFrame:
     log = lines(spark, d)
-    slots = M.slot_values(M.matched(log, T.templates_of(log)))
-    return slots.select(F.lit("V").alias("scope"), "eid", F.col("slot").alias("col"), F.col("rec_no").alias("pos"), "value")
+    slots = M.slot_values(M.matched(log, T.bounded(T.templates_of(log))))
+    return written(slots.select(F.lit("V").alias("scope"), "eid", F.col("slot").alias("col"), F.col("rec_no").alias("pos"), "value"), "slots")
 
 
 PROFILE_SQL = f"""{SLOTS_SQL},
@@ -326,7 +330,7 @@ def codec_roundtrip(spark, d):
 def message_templates(spark, log: DataFrame) -> DataFrame:
     """Templates of what follows the header, as a small local table (at most MAX_TEMPLATES rows)."""
     content = log.withColumn("line", F.regexp_replace("line", f"^(?:[^ \\t|]+[ \\t|]+){{{HEAD}}}", ""))
-    return spark.createDataFrame(T.templates_of(content).collect(), "eid int, tokens array<string>, n_tokens int, slots array<int>, support long, text string")
+    return T.bounded(T.templates_of(content))
 
 
 @query()

@@ -46,8 +46,10 @@ def tokens_of(text: str) -> list[str]:
 
 
 def write_templates(templates: DataFrame, path: str) -> None:
-    """One text file of at most MAX_TEMPLATES templates, in order of id."""
-    rows = [(r.eid, r.text) for r in templates.orderBy("eid").limit(MAX_TEMPLATES).collect()]
+    """One text file of at most MAX_TEMPLATES templates, in order of id; more are refused."""
+    rows = [(r.eid, r.text) for r in templates.orderBy("eid").limit(MAX_TEMPLATES + 1).collect()]
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     spark = templates.sparkSession
     spark.range(1).select(F.lit(template_text(rows).removesuffix("\n")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.functions import text as X
 from loglattice.operators.matcher import matched
 from loglattice.sources.lines import event_lines
+from loglattice.sources.scratch import scratch_path
 
 
 def counted(lines: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -25,12 +24,7 @@ def matched_stream(lines: DataFrame, templates: DataFrame, head_length: int = 0)
 
 def hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     """All events as a stream, read until none is left; every change of a window's count goes to a table and the last one stands."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="lattice-")
-    place = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    place = scratch_path(spark, "stream")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))

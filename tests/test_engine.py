@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import similarity as S
 from loglattice.operators import archive, cluster, headers, matcher, order, profile, templates, windows
-from loglattice.sources import formats
+from loglattice.sources import artifacts, formats
 from loglattice.sources.lines import assemble_records, read_lines
 
 LINES = [
@@ -67,6 +67,34 @@ def test_tree_trainer_merges():
     assert "close it" in trainer.show()
 
 
+def test_tree_trainer_merges_short_lines_in_their_last_token():
+    trainer = templates.TreeTrainer()
+    for line in ("user alice", "user bob", "x", "y", "a\tb c", "a\tb d", "a  b", "a\tb"):
+        trainer.add([x for x in __import__("re").split(r"(\s+)", line)])
+    assert sorted("".join(c.tokens) for c in trainer.clusters) == sorted(["a  b", "a\tb", "a\tb <*>", "user <*>", "x", "y"])
+
+
+def test_too_many_templates_are_refused(spark, tmp_path):
+    lines = spark.range(1001).select(F.concat(F.lit("word "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("line"), F.col("id").alias("rec_no"))
+    found = templates.templates_of(lines)
+    for use in (lambda: templates.bounded(found), lambda: matcher.matched(lines, found), lambda: artifacts.write_templates(found, str(tmp_path / "t"))):
+        with pytest.raises(ValueError, match="more than 1000"):
+            use()
+    assert templates.bounded(templates.templates_of(lines.filter("rec_no < 1000"))).count() == 1000
+
+
+def test_folded_templates_match_every_member():
+    import random
+
+    assert S.folded_template([list("aXb"), list("aYb"), list("ab")]) == ["a", "<*>", "b"]
+    for seed in range(300):
+        r = random.Random(seed)
+        rows = [[r.choice("abcd") for _ in range(r.randint(1, 7))] for _ in range(r.randint(1, 5))]
+        template = S.folded_template(rows)
+        assert all(S.gap_match(template, row) is not None for row in rows), rows
+        assert all(not (x == y == "<*>") for x, y in zip(template, template[1:]))
+
+
 def test_header_layout(spark):
     rows = spark.createDataFrame([(i, f"2024-01-{i % 28 + 1:02d} {'INFO' if i % 2 else 'WARN'} rest") for i in range(50)], "rec_no long, line string")
     values = headers.header_values(rows, 2)
