@@ -26,7 +26,7 @@ another place, in the same text or another one.
    share windows: one of each digest goes to a shard of its anchor, where
    suffix array and common prefixes are built as in 2. An anchor with more than
    SPLIT of them is dealt to several shards, whose distinct windows are merged
-   as in 3.
+   likewise, as sorted runs cut at range borders.
 5. Marks become byte spans of documents, which are united and removed.
 
 Cases: null and empty texts and those under 200 bytes keep everything; of
@@ -298,28 +298,63 @@ def _by_text(shard_bytes: int) -> Callable:
     return run
 
 
-def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of super-windows that share anchors: marked runs of windows and, for split anchors, the sorted run of the distinct windows."""
-    for table in whole_groups(batches, "g"):
-        g = table["g"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+RUNS_SCHEMA = "k1 long, k2 long, start long, n long, r long, run long, blob binary"
+
+
+def run_rows(k1, k2, start: np.ndarray, n: np.ndarray, r: list | None = None, run: int = 0, blob: list | None = None) -> pa.RecordBatch:
+    """Rows of RUNS_SCHEMA: marked runs of windows, or for each range the part of a sorted run, packed."""
+    size = len(start) if r is None else len(r)
+    none = pa.nulls(size, pa.int64())
+    columns = [none] * 4 if r is not None else [pa.array(x, pa.int64()) for x in (k1, k2, start.astype(np.int64), n.astype(np.int64))]
+    more = [none, none, pa.nulls(size, pa.binary())] if r is None else [pa.array(r, pa.int64()), pa.array([run] * size, pa.int64()), pa.array(blob, pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, *more], names=["k1", "k2", "start", "n", "r", "run", "blob"])
+
+
+def _by_anchor(ranges: int) -> Callable:
+    """Shards of super-windows that share anchors: marked runs of windows and, for split anchors, the sorted run of the distinct windows in parts by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "g"):
+            g = table["g"].to_numpy()
+            edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+            for a, b in zip(edge.tolist(), edge[1:].tolist()):
+                part = table.slice(a, b - a)
+                blobs = [x.as_buffer() for x in part["bytes"]]
+                text = np.frombuffer(b"".join(blobs), np.uint8)
+                ends = np.cumsum([len(x) for x in blobs])
+                begins = np.concatenate([[0], ends[:-1]])
+                k1, k2, start = (part[c].to_numpy() for c in ("k1", "k2", "start"))
+                marks, places, cls = repeated_windows(text, ends)
+                seg, at, size = _runs(marks, begins, ends)
+                yield run_rows(k1[seg], k2[seg], start[seg] + at, size)
+                if part["split"][0].as_py():
+                    places = places[np.r_[True, cls[1:] != cls[:-1]]]
+                    digest = digests(text, places, places + WIDTH)
+                    one = distinct_sorted(digest)
+                    places, digest = places[one], digest[one]
+                    seg = np.searchsorted(ends, places, "right")
+                    rows = np.stack([digest[:, 0].astype(">u8").view(np.int64), digest[:, 1].astype(">u8").view(np.int64), k1[seg], k2[seg], start[seg] + places - begins[seg]], axis=1)
+                    r = ((digest[:, 0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                    cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
+                    yield run_rows(None, None, places, places, r[cut[:-1]].tolist(), int(g[a]), [rows[s:t].tobytes() for s, t in zip(cut.tolist(), cut[1:].tolist())])
+
+    return run
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range: the windows that the runs of two shards hold. A shard has a window once, so a range's copies of one are no more than shards."""
+    for table in whole_groups(batches, "r"):
+        r = table["r"].to_numpy()
+        edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
         for a, b in zip(edge.tolist(), edge[1:].tolist()):
-            part = table.slice(a, b - a)
-            blobs = [x.as_buffer() for x in part["bytes"]]
-            text = np.frombuffer(b"".join(blobs), np.uint8)
-            ends = np.cumsum([len(x) for x in blobs])
-            begins = np.concatenate([[0], ends[:-1]])
-            k1, k2, start = (part[c].to_numpy() for c in ("k1", "k2", "start"))
-            marks, places, cls = repeated_windows(text, ends)
-            seg, at, size = _runs(marks, begins, ends)
-            yield found_rows(k1[seg], k2[seg], start[seg] + at, size)
-            if part["split"][0].as_py():
-                places = places[np.r_[True, cls[1:] != cls[:-1]]]
-                digest = digests(text, places, places + WIDTH)
-                one = distinct_sorted(digest)
-                places = places[one]
-                seg = np.searchsorted(ends, places, "right")
-                yield found_rows(k1[seg], k2[seg], start[seg] + places - begins[seg], np.ones(len(places)), digest[one], int(g[a]), np.zeros(len(places), np.int64))
+            runs = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 5) for x in table["blob"].slice(a, b - a)]
+            keys = [np.ascontiguousarray(x[:, :2]).view("S16").ravel() for x in runs]
+            twice = in_two(keys)
+            for x, own in zip(runs, keys):
+                at = np.searchsorted(twice, own)
+                held = at < len(twice)
+                held[held] = twice[at[held]] == own[held]
+                yield run_rows(x[held, 2], x[held, 3], x[held, 4], np.ones(int(held.sum())))
 
 
 def _runs(marks: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -439,9 +474,10 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     wanted = edges.select(*span, shard.alias("g"), F.col("parts").isNotNull().alias("split"))
     pieces = _of_keys(keyed, written(wanted.select("k1", "k2").distinct(), "edge_keys")).select("k1", "k2", F.col("text").cast("binary").alias("raw"))
     segments = wanted.join(pieces, ["k1", "k2"]).select("g", "split", *span, F.substring(F.col("raw"), F.col("start").cast("int") + 1, (F.col("n") + WIDTH - 1).cast("int")).alias("bytes")).dropDuplicates(["k1", "k2", "start"])
-    sharded = written(segments.repartition("g").sortWithinPartitions("g").mapInArrow(Lean(_by_anchor), FOUND_SCHEMA), "edge_shards")
-    spans = inside.union(across).union(sharded.filter("run is null").select(*span))
-    return spans.union(merged_runs(sharded.filter("run is not null"), int(split_windows), "edge_merged").filter("hit").select(*span)) if split_windows else spans
+    ranges = max(1, -(-int(split_windows) // RANGE_ROWS))
+    sharded = written(segments.repartition("g").sortWithinPartitions("g").mapInArrow(Lean(_by_anchor(ranges)), RUNS_SCHEMA), "edge_shards")
+    parts = sharded.filter("blob is not null").repartition("r").sortWithinPartitions("r", "run")
+    return inside.union(across).union(sharded.filter("blob is null").select(*span)).union(parts.mapInArrow(Lean(_across), RUNS_SCHEMA).select(*span))
 
 
 def _of_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
