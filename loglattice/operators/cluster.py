@@ -82,6 +82,14 @@ def nearest(vectors: DataFrame, centers: DataFrame, key: str, vec: str, cluster:
     return out if threshold is None else out.filter(F.col("dist") < threshold)
 
 
+def min_distance(vectors: DataFrame, chosen: DataFrame, key: str, vec: str, most: int = 10_000) -> DataFrame:
+    """(key, dist): for every row the least distance to a chosen set of vectors. The set has at most `most` rows and comes as one array; an empty one gives null."""
+    if chosen.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} chosen vectors")
+    table = chosen.agg(F.collect_list(F.col(vec)).alias("_t"))
+    return vectors.crossJoin(F.broadcast(table)).select(key, F.array_min(F.transform("_t", lambda v: distance(F.col(vec), v))).alias("dist"))
+
+
 def sampled_clusters(left: DataFrame, key: str, vec: str, threshold: float, n: int, numbers: range, seed: str) -> DataFrame:
     """(round, cluster, key, vec): complete-linkage clusters of each round's sample of n rows. Samples are ranked by key alone, in a task per core."""
     keys = left.select(key).coalesce(left.sparkSession.sparkContext.defaultParallelism)

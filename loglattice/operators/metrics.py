@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions.codec import KERNELS
+from loglattice.functions.similarity import ratcliff_distance
 from loglattice.operators.archive import compressed
 
 
@@ -40,6 +41,13 @@ def match_score(lines: DataFrame, restored: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.avg(F.col("a").eqNullSafe(F.col("b")).cast("double")).alias("score"))
 
 
+def ratio_score(lines: DataFrame, restored: DataFrame) -> DataFrame:
+    """(n, score): mean matching-blocks ratio of the two texts of each line; lines on either side alone count 0."""
+    both = lines.select("rec_no", F.col("line").alias("a")).join(restored.select("rec_no", F.col("line").alias("b")), "rec_no", "full")
+    ratio = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(1 - ratcliff_distance(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))))
+    return both.agg(F.count("*").alias("n"), F.avg(ratio).alias("score"))
+
+
 def reduction_rate(raw_bytes: int, archive_bytes: int) -> float:
     return 1 - archive_bytes / raw_bytes if raw_bytes else 0.0
 

@@ -22,6 +22,7 @@ from loglattice.operators import metrics as Q
 from loglattice.operators import profile as P
 from loglattice.operators import templates as T
 from loglattice.operators import windows as W
+from loglattice.operators.order import chunk_sample as chunk_chosen
 from loglattice.operators.order import hash_rank, with_position
 from loglattice.sources import formats
 from loglattice.sources.lines import LINES_SQL, assemble_records, event_lines, with_blocks
@@ -415,6 +416,26 @@ def nearest_center(spark, d):
     return K.nearest(vectors, K.representatives(vectors, "cluster", "v"), "vec_id", "v", "cluster").select("vec_id", "cluster", F.round("dist", 4).alias("dist"))
 
 
+@query(f"""with {SAMPLE_SQL} select e.vec_id, round(min(sqrt(list_sum(list_transform(list_zip(e.embedding, sv.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))))), 4) as dist
+from embeddings e, sv group by 1""")
+def min_distance(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return K.min_distance(vectors, hash_rank(vectors, "0", "vec_id", 100), "vec_id", "v").select("vec_id", F.round("dist", 4).alias("dist"))
+
+
+@query("select label, min(vec_id) as center from embeddings group by 1")
+def center_index(spark, d):
+    return W.center_index(table(spark, d, "embeddings"), "vec_id", "label")
+
+
+@query(f"""with {IDS_SQL}, ch as (select distinct pos // 20 as win_id from ids order by md5('0|' || win_id), win_id limit 10)
+select pos, eid from ids where pos // 20 in (select win_id from ch)""")
+def window_rows(spark, d):
+    found = ids(spark, d)
+    windows = found.select(F.floor(F.col("pos") / WINDOW).alias("win_id")).distinct()
+    return W.window_rows(found, hash_rank(windows, "0", "win_id", 10), WINDOW)
+
+
 @query()
 def complete_linkage(spark, d):
     return K.complete_linkage(table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")), "vec_id", "v", 1.0)
@@ -464,19 +485,140 @@ def part_pairs(spark, d):
     return parts.select("p_partkey", F.col("p_name").alias("a")), parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
 
 
-@query()
+# a row of the usual table: candidates from the row before, then their running maxima
+LCS_SQL = """recursive ab as (select a.p_partkey, string_split(a.p_name, '') as x, string_split(b.p_name, '') as y from part a join part b on b.p_partkey = a.p_partkey + 1),
+dp(p_partkey, x, y, i, cells) as (select p_partkey, x, y, 0, list_transform(range(len(y) + 1), lambda j: 0::bigint) from ab union all
+ select p_partkey, x, y, i + 1, list_prepend(0::bigint, list_transform(range(1, len(y) + 1), lambda j: list_max(cand[1:j])))
+ from (select *, list_transform(range(1, len(y) + 1), lambda j: case when y[j] = x[i + 1] then cells[j] + 1 else cells[j + 1] end) as cand from dp where i < len(x))),
+ll as (select p_partkey, len(x)::double as n, len(y)::double as m, cells[len(y) + 1]::double as k from dp where i = len(x))"""
+
+
+@query(f"with {LCS_SQL} select p_partkey, round(1 - k / n, 6) as dist, round(1 - 2 * k / (n + m), 6) as both from ll")
 def lcs_distance(spark, d):
     a, b = part_pairs(spark, d)
     words = lambda c: F.split(c, "")
     return a.join(b, "p_partkey").select("p_partkey", F.round(S.lcs_distance(words("a"), words("b")), 6).alias("dist"), F.round(S.lcs_distance(words("a"), words("b"), True), 6).alias("both"))
 
 
+@query(f"""with {LCS_SQL} select p_partkey, round((1 - k / n + sqrt((a.p_size - b.p_size) ** 2 + (a.p_retailprice - b.p_retailprice) ** 2) / 2) / 2, 4) as dist
+from ll join part a using (p_partkey) join part b on b.p_partkey = ll.p_partkey + 1""")
+def mixed_distance(spark, d):
+    vector = F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double"))
+    parts = table(spark, d, "part").select("p_partkey", F.split("p_name", "").alias("a"), vector.alias("x"))
+    after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"), F.col("x").alias("y"))
+    return parts.join(after, "p_partkey").select("p_partkey", F.round(S.mixed_distance(F.col("a"), F.col("b"), F.col("x"), F.col("y")), 4).alias("dist"))
+
+
+CHARS_SQL = "ab as (select a.p_partkey, a.p_name as a, b.p_name as b, string_split(a.p_name, '') as x, string_split(b.p_name, '') as y from part a join part b on b.p_partkey = a.p_partkey + 1)"
+
+
+@query(f"with {CHARS_SQL} select p_partkey, round(2 * len(list_intersect(list_distinct(x), list_distinct(y))) / (len(list_distinct(x)) + len(list_distinct(y)))::double, 6) as similarity from ab")
+def ngram_similarity(spark, d):
+    a, b = part_pairs(spark, d)
+    return a.join(b, "p_partkey").select("p_partkey", F.round(S.ngram_similarity(F.split("a", ""), F.split("b", ""), 1), 6).alias("similarity"))
+
+
+@query(f"""with {CHARS_SQL}, u as (select p_partkey, unnest(x) as c, 1 as p, 0 as q from ab union all select p_partkey, unnest(y), 0, 1 from ab),
+s as (select p_partkey, sum(least(p, q)) as k, sum(p) as n, sum(q) as m from (select p_partkey, c, sum(p) as p, sum(q) as q from u group by 1, 2) group by 1)
+select p_partkey, round(1 - k / sqrt(n::double * m), 6) as dist from s""")
+def multiset_cosine(spark, d):
+    a, b = part_pairs(spark, d)
+    return a.join(b, "p_partkey").select("p_partkey", F.round(S.multiset_cosine_distance(F.split("a", ""), F.split("b", "")), 6).alias("dist"))
+
+
+@query(f"""with {CHARS_SQL}, t as (select p_partkey, 'a' as k, unnest(x) as c from ab union all select p_partkey, 'b', unnest(y) from ab union all select p_partkey, k, unnest(list_concat(x, y)) from ab, (values ('ab')) v(k)),
+h as (select p_partkey, k, 1 - sum(p * log2(p)) as e from (select p_partkey, k, c, count(*) / sum(count(*)) over (partition by p_partkey, k) as p from t group by 1, 2, 3) group by 1, 2),
+w as (select p_partkey, max(e) filter (k = 'a') as ea, max(e) filter (k = 'b') as eb, max(e) filter (k = 'ab') as eab from h group by 1)
+select p_partkey, round(case when a = b then 0 else (eab - least(ea, eb)) / greatest(ea, eb) end, 6) + 0.0 as dist from w join ab using (p_partkey)""")
+def entropy_distance(spark, d):
+    a, b = part_pairs(spark, d)
+    return a.join(b, "p_partkey").select("p_partkey", (F.round(S.entropy_distance("a", "b"), 6) + 0.0).alias("dist"))
+
+
+@query("""select a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) / len(a.embedding), 6) as dist
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def euclidean_distance(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    after = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return vectors.join(after, "vec_id").select("vec_id", F.round(S.euclidean(F.col("x"), F.col("y")), 6).alias("dist"))
+
+
 @query()
 def ratcliff(spark, d):
     a, b = part_pairs(spark, d)
     return a.join(b, "p_partkey").select("p_partkey", F.round(S.ratcliff_distance("a", "b"), 6).alias("dist"), F.round(S.entropy_distance("a", "b"), 6).alias("entropy_dist"))
 
 
+GAP_TEMPLATES = [["<*>", "-", "<*>", "E", "<*>"], ["5", "<*>"]]
+GAP_PATTERN = "'^(.*?)-(.*?)E(.*)$'"
+
+
+@query(f"""select o_orderkey, case when regexp_matches(o_orderpriority, {GAP_PATTERN}) then 0 when regexp_matches(o_orderpriority, '^5') then 1 else -1 end as template,
+case when regexp_matches(o_orderpriority, {GAP_PATTERN}) then regexp_replace(o_orderpriority, {GAP_PATTERN}, '\\1|\\2|\\3') when regexp_matches(o_orderpriority, '^5') then o_orderpriority[2:] end as parts from orders""")
+def gap_match(spark, d):
+    from loglattice.operators.sequences import matched_sequences
+
+    rows = table(spark, d, "orders").select("o_orderkey", F.split("o_orderpriority", "").alias("seq"))
+    parts = F.array_join(F.transform("parts", lambda p: F.array_join(p, "")), "|")
+    return matched_sequences(rows, "seq", GAP_TEMPLATES).select("o_orderkey", "template", parts.alias("parts"))
+
+
+@query(f"with {LINES_SQL} select rec_no, regexp_replace(line, '[0-9]+', '<*>', 'g') as collapsed from lines")
+def collapsed_wildcards(spark, d):
+    return lines(spark, d).select("rec_no", X.collapsed_wildcards(F.regexp_replace("line", "[0-9]", "<*>")).alias("collapsed"))
+
+
+@query(f"with {ALL_HEADERS_SQL} select rec_no, field::int as field, regexp_matches(value, '^[0-9]+-[0-9]+-[0-9]+$') as fits from hv")
+def header_format_check(spark, d):
+    return H.header_values(lines(spark, d), HEAD, None).select("rec_no", "field", X.fits_format(F.col("value"), "%d-%d-%d").alias("fits"))
+
+
+@query(f"with {ZIGZAG_SQL} select o_orderkey, right(lpad(hex(v::bigint), 16, '0'), 8) as bytes from zz")
+def big_endian(spark, d):
+    return P.deltas(order_column(spark, d), "o_custkey", ["block_id"]).select("o_orderkey", F.hex(X.big_endian(F.col("encoded").cast("bigint"))).alias("bytes"))
+
+
+@query("""with r as (select p_name, row_number() over (order by p_partkey) - 1 as pos from part), c as (select pos, unnest(string_split(p_name, '')) as ch, unnest(range(length(p_name))) as i from r)
+select (pos // 20)::bigint as grp, string_agg(ch, '' order by i, pos) as transposed from c group by 1""")
+def transposed(spark, d):
+    rows = with_position(table(spark, d, "part"), "p_partkey").groupBy(F.floor(F.col("pos") / WINDOW).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("pos", "p_name"))).alias("s"))
+    return rows.select("grp", X.transposed(F.transform("s", lambda x: x["p_name"])).alias("transposed"))
+
+
+@query(f"""with {LINES_SQL}, ch as (select distinct rec_no // 20 as chunk from lines), k as (select chunk, row_number() over (order by md5('0|' || chunk), chunk) as r, count(*) over () as n from ch)
+select rec_no, line from lines where rec_no // 20 in (select chunk from k where r <= least(greatest(floor(n * 0.2), 50), 50000))""")
+def chunk_sample(spark, d):
+    return chunk_chosen(lines(spark, d), 0.2, "0")
+
+
+# a log of known messages and of lines that no template fits or that can't be loaded
+MIXED_SQL = f"{TEMPLATES_SQL}, {DOC_LINES}, ml as (select rec_no, line from lines union all select 10000000000 + doc_id * 100000 + line_no, line from dl)"
+
+
+def mixed_lines(spark, d) -> DataFrame:
+    rows = document_lines(spark, d).select((F.col("doc_id") * 100_000 + F.col("line_no") + 10_000_000_000).alias("rec_no"), "line")
+    return lines(spark, d).union(rows)
+
+
+@query(f"""with {MIXED_SQL}, t as (select *, {TOKENS} as toks from ml)
+select rec_no, (case when length(trim(line, ' ')) = 0 or contains(line, chr(0)) or length(line) > 300000 or len(toks) >= 2048 then -1 else coalesce((select min(eid) from tp
+where len(tp.tokens) = len(t.toks) and len(list_filter(list_zip(tp.tokens, t.toks), lambda z: z[1] <> '<*>' and z[1] <> z[2])) = 0), 0) end)::int as eid from t""")
+def mixed_match(spark, d):
+    return M.matched(mixed_lines(spark, d), T.bounded(T.templates_of(lines(spark, d)))).select("rec_no", "eid")
+
+
+@query(f"with {MIXED_SQL} select (rec_no // 100000)::bigint as block_id, rec_no, md5(line) as line_md5 from ml")
+def restore_mixed(spark, d):
+    templates = message_templates(spark, lines(spark, d))
+    encoded, failed = A.compressed(with_blocks(mixed_lines(spark, d)), templates, HEAD, "zstd")
+    return A.restored(encoded, failed, templates).select("block_id", "rec_no", F.md5("line").alias("line_md5"))
+
+
+@query(f"with {LINES_SQL} select count(*) as n, 1.0::double as score from lines")
+def line_ratio_score(spark, d):
+    return Q.ratio_score(with_blocks(lines(spark, d)), restore_lines(spark, d))
+
+
 @query(f"with {LINES_SQL} select date_trunc('hour', ts) as hour, {SIG} as sig, count(*) as n from lines join events on event_id = rec_no group by 1, 2")
 def stream_template_counts(spark, d):
     from loglattice.streaming.counts import hourly_counts

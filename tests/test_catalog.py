@@ -25,7 +25,7 @@ def rows(names, values):
     return sorted(str([r[i] for i in order]) for r in values)
 
 
-@pytest.mark.parametrize("name", ["template_counts", "token_topk", "header_layout", "header_part_mode", "modal_delimiter", "header_numbers", "dense_ids", "column_profile", "template_match", "slot_values", "load_failures", "multiline_records", "delta_rule", "dict_encode", "zigzag", "count_windows", "idf_weights", "restore_lines", "encoding_plan", "stream_template_counts"])
+@pytest.mark.parametrize("name", ["template_counts", "token_topk", "header_layout", "header_part_mode", "modal_delimiter", "header_numbers", "dense_ids", "column_profile", "template_match", "slot_values", "load_failures", "multiline_records", "delta_rule", "dict_encode", "zigzag", "count_windows", "idf_weights", "restore_lines", "encoding_plan", "stream_template_counts", "lcs_distance", "mixed_distance", "ngram_similarity", "multiset_cosine", "entropy_distance", "euclidean_distance", "min_distance", "center_index", "window_rows", "gap_match", "collapsed_wildcards", "header_format_check", "big_endian", "transposed", "chunk_sample", "mixed_match", "restore_mixed", "line_ratio_score"])
 def test_query_equals_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     found = duck.execute(catalog.SQL[name])
