@@ -28,13 +28,13 @@ _integer, _digits, _other = re.compile(X.INTEGER), re.compile(X.FIXED_DIGITS), r
 
 
 def columns_of(parsed: DataFrame, head_length: int) -> DataFrame:
-    """(block_id, scope, eid, col, pos, value): header fields H, their separators D, template slots V, of loaded records."""
+    """(src, block_id, scope, eid, col, pos, value): header fields H, their separators D, template slots V, of loaded records."""
     good = parsed.filter("eid > 0")
     fields = F.transform(X.header_fields(F.col("head")), lambda v, i: F.struct(F.lit("H").alias("scope"), F.lit(0).alias("eid"), i.cast("int").alias("col"), v.alias("value")))
     seps = F.transform(X.header_separators(F.col("head")), lambda v, i: F.struct(F.lit("D").alias("scope"), F.lit(0).alias("eid"), i.cast("int").alias("col"), v.alias("value")))
     slots = F.transform("vars", lambda v, i: F.struct(F.lit("V").alias("scope"), F.col("eid").alias("eid"), i.cast("int").alias("col"), v.alias("value")))
     cells = F.concat(fields, seps, slots) if head_length else slots
-    return good.select("block_id", F.col("rec_no").alias("pos"), F.explode(cells).alias("x")).select("block_id", "x.scope", "x.eid", "x.col", "pos", "x.value")
+    return good.select("src", "block_id", F.col("rec_no").alias("pos"), F.explode(cells).alias("x")).select("src", "block_id", "x.scope", "x.eid", "x.col", "pos", "x.value")
 
 
 def entropy(values: np.ndarray) -> float:
@@ -138,56 +138,76 @@ def _decode(m: dict, body: bytes) -> list[str]:
     return _unstrings(body)
 
 
-ENCODED = "block_id long, scope string, eid int, col int, n long, raw_bytes long, meta string, payload binary"
+BLOCK = ["src", "block_id"]
+ENCODED = "src string, block_id long, scope string, eid int, col int, n long, raw_bytes long, meta string, payload binary"
 
 
 def encoded_columns(cols: DataFrame, kernel: str = "lzma", split: bool = True, share: float = DISTINCT_SHARE) -> DataFrame:
-    """(block_id, scope, eid, col, n, raw_bytes, meta, payload), one row per column of a block."""
+    """(src, block_id, scope, eid, col, n, raw_bytes, meta, payload), one row per column of a source's block."""
 
     def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("pos").value.tolist()
         meta, payload = encode_column(values, split, share, kernel)
-        return pd.DataFrame([(*key, len(values), sum(len(v.encode()) + 1 for v in values), meta, payload)], columns=["block_id", "scope", "eid", "col", "n", "raw_bytes", "meta", "payload"])
+        return pd.DataFrame([(*key, len(values), sum(len(v.encode()) + 1 for v in values), meta, payload)], columns=[*BLOCK, "scope", "eid", "col", "n", "raw_bytes", "meta", "payload"])
 
-    return cols.groupBy("block_id", "scope", "eid", "col").applyInPandas(encode, ENCODED)
+    return cols.groupBy(*BLOCK, "scope", "eid", "col").applyInPandas(encode, ENCODED)
+
+
+def packed_sizes(encoded: DataFrame, kernels: list[str]) -> DataFrame:
+    """(kernel, bytes): what the columns with their meta take by each kernel; every column is encoded once and packed by all of them."""
+
+    def pack(batches):
+        for pdf in batches:
+            sizes = dict.fromkeys(kernels, 0)
+            for meta, payload in zip(pdf.meta, pdf.payload):
+                m = json.loads(meta)
+                body = UNPACK[m["kernel"]](bytes(payload))
+                for k in kernels:
+                    sizes[k] += len(json.dumps({**m, "kernel": k})) + len(KERNELS[k](body))
+            yield pd.DataFrame(sizes.items(), columns=["kernel", "bytes"])
+
+    return encoded.select("meta", "payload").mapInPandas(pack, "kernel string, bytes long").groupBy("kernel").agg(F.sum("bytes").alias("bytes"))
 
 
 def decoded_columns(encoded: DataFrame) -> DataFrame:
-    """(block_id, scope, eid, col, k, value): values by their rank k in the column."""
+    """(src, block_id, scope, eid, col, k, value): values by their rank k in the column."""
 
     def decode(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 values = decode_column(r.meta, bytes(r.payload))
-                yield pd.DataFrame({"block_id": r.block_id, "scope": r.scope, "eid": r.eid, "col": r.col, "k": range(len(values)), "value": values})
+                yield pd.DataFrame({"src": r.src, "block_id": r.block_id, "scope": r.scope, "eid": r.eid, "col": r.col, "k": range(len(values)), "value": values})
 
-    return encoded.mapInPandas(decode, "block_id long, scope string, eid int, col int, k long, value string")
+    return encoded.mapInPandas(decode, "src string, block_id long, scope string, eid int, col int, k long, value string")
 
 
 def compressed(lines: DataFrame, templates: DataFrame, head_length: int, kernel: str = "lzma", split: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Two tables of (block_id, rec_no, line): encoded columns, and failed records (block_id, rec_no, raw).
+    """Two tables of lines (block_id, rec_no, line and, where there are several sources, src): encoded columns, and failed records (src, block_id, rec_no, raw).
 
-    The ids of all records form the column of scope E, as in the log order.
+    A block belongs to one source; without a src, or where it is null, that is
+    the empty text. The ids of all records form the column of scope E, as in
+    the log order.
     """
-    parsed = matched(lines, templates, head_length)
-    ids = parsed.select("block_id", F.lit("E").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("eid").cast("string").alias("value"))
-    numbers = parsed.select("block_id", F.lit("N").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("rec_no").cast("string").alias("value"))
+    src = F.coalesce(F.col("src"), F.lit("")) if "src" in lines.columns else F.lit("")
+    parsed = matched(lines.withColumn("src", src), templates, head_length)
+    ids = parsed.select(*BLOCK, F.lit("E").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("eid").cast("string").alias("value"))
+    numbers = parsed.select(*BLOCK, F.lit("N").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("rec_no").cast("string").alias("value"))
     cols = columns_of(parsed, head_length).union(ids).union(numbers)
-    failed = parsed.filter("eid <= 0").select("block_id", "rec_no", F.col("line").alias("raw"))
+    failed = parsed.filter("eid <= 0").select(*BLOCK, "rec_no", F.col("line").alias("raw"))
     return encoded_columns(cols, kernel, split), failed
 
 
 def restored(encoded: DataFrame, failed: DataFrame, templates: DataFrame) -> DataFrame:
-    """(block_id, rec_no, line): columns decoded, records filled from their template and united with the failed ones."""
+    """(src, block_id, rec_no, line): columns decoded, records filled from their template and united with the failed ones."""
     values = decoded_columns(encoded)
-    at = lambda scope, name: values.filter(F.col("scope") == scope).select("block_id", "k", F.col("value").alias(name))
-    records = at("E", "eid").join(at("N", "rec_no"), ["block_id", "k"]).select("block_id", F.col("rec_no").cast("long").alias("rec_no"), F.col("eid").cast("int").alias("eid"))
+    at = lambda scope, name: values.filter(F.col("scope") == scope).select(*BLOCK, "k", F.col("value").alias(name))
+    records = at("E", "eid").join(at("N", "rec_no"), [*BLOCK, "k"]).select(*BLOCK, F.col("rec_no").cast("long").alias("rec_no"), F.col("eid").cast("int").alias("eid"))
     good = records.filter("eid > 0")
-    good = good.withColumn("k", F.row_number().over(Window.partitionBy("block_id").orderBy("rec_no")).cast("long") - 1)
-    good = good.withColumn("kv", F.row_number().over(Window.partitionBy("block_id", "eid").orderBy("rec_no")).cast("long") - 1)
+    good = good.withColumn("k", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("rec_no")).cast("long") - 1)
+    good = good.withColumn("kv", F.row_number().over(Window.partitionBy(*BLOCK, "eid").orderBy("rec_no")).cast("long") - 1)
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("col", "o", "value"))), lambda x: x["value"])
-    heads = values.filter("scope in ('H', 'D')").withColumn("o", F.when(F.col("scope") == "H", 0).otherwise(1)).groupBy("block_id", "k").agg(F.array_join(ordered("col"), "").alias("head"))
-    slots = values.filter("scope = 'V'").withColumn("o", F.lit(0)).groupBy("block_id", "eid", F.col("k").alias("kv")).agg(ordered("col").alias("vars"))
-    joined = good.join(heads, ["block_id", "k"], "left").join(slots, ["block_id", "eid", "kv"], "left").join(F.broadcast(templates.select("eid", "tokens")), "eid")
+    heads = values.filter("scope in ('H', 'D')").withColumn("o", F.when(F.col("scope") == "H", 0).otherwise(1)).groupBy(*BLOCK, "k").agg(F.array_join(ordered("col"), "").alias("head"))
+    slots = values.filter("scope = 'V'").withColumn("o", F.lit(0)).groupBy(*BLOCK, "eid", F.col("k").alias("kv")).agg(ordered("col").alias("vars"))
+    joined = good.join(heads, [*BLOCK, "k"], "left").join(slots, [*BLOCK, "eid", "kv"], "left").join(F.broadcast(templates.select("eid", "tokens")), "eid")
     line = F.concat(F.coalesce("head", F.lit("")), filled(F.col("tokens"), F.coalesce("vars", F.array().cast("array<string>"))))
-    return joined.select("block_id", "rec_no", line.alias("line")).union(failed.select("block_id", "rec_no", "raw"))
+    return joined.select(*BLOCK, "rec_no", line.alias("line")).union(failed.select(*BLOCK, "rec_no", "raw"))

@@ -350,7 +350,7 @@ def restore_lines(spark, d):
     log = with_blocks(lines(spark, d))
     templates = message_templates(spark, log)
     encoded, failed = A.compressed(log, templates, HEAD, "zstd")
-    return A.restored(encoded, failed, templates)
+    return A.restored(encoded, failed, templates).drop("src")
 
 
 @query(f"with {LINES_SQL} select count(*) as n, 1.0::double as score from lines")

@@ -74,20 +74,20 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
 
 def write_archive(path: str, encoded: DataFrame, failed: DataFrame, templates: DataFrame) -> None:
     """An archive: encoded columns by block and scope (readers prune both), failed records by block, templates."""
-    encoded.repartition("block_id").write.mode("overwrite").option("compression", "uncompressed").partitionBy("block_id", "scope").parquet(f"{path}/columns")
+    encoded.repartition("src", "block_id").write.mode("overwrite").option("compression", "uncompressed").partitionBy("block_id", "scope").parquet(f"{path}/columns")
     failed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/failed")
     templates.write.mode("overwrite").parquet(f"{path}/templates")
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    encoded = spark.read.schema("eid int, col int, n long, raw_bytes long, meta string, payload binary, block_id long, scope string").parquet(f"{path}/columns")
-    return encoded.select("block_id", "scope", "eid", "col", "n", "raw_bytes", "meta", "payload"), spark.read.parquet(f"{path}/failed"), spark.read.schema(TEMPLATES).parquet(f"{path}/templates")
+    encoded = spark.read.schema("eid int, col int, n long, raw_bytes long, meta string, payload binary, src string, block_id long, scope string").parquet(f"{path}/columns")
+    return encoded.select("src", "block_id", "scope", "eid", "col", "n", "raw_bytes", "meta", "payload"), spark.read.parquet(f"{path}/failed"), spark.read.schema(TEMPLATES).parquet(f"{path}/templates")
 
 
 def column_metas(encoded: DataFrame) -> DataFrame:
-    """(block_id, scope, eid, col, kind, pattern, kernel): what each column's JSON says."""
+    """(src, block_id, scope, eid, col, kind, pattern, kernel): what each column's JSON says."""
     m = F.from_json("meta", "kind string, pattern string, kernel string")
-    return encoded.select("block_id", "scope", "eid", "col", m.alias("m")).select("block_id", "scope", "eid", "col", "m.*")
+    return encoded.select("src", "block_id", "scope", "eid", "col", m.alias("m")).select("src", "block_id", "scope", "eid", "col", "m.*")
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:

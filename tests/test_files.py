@@ -25,6 +25,20 @@ def test_engine_end_to_end(spark, tmp_path):
     assert sorted(map(tuple, artifacts.read_layout(spark, str(tmp_path / "layout")).collect())) == sorted(map(tuple, layout.collect()))
 
 
+def test_sources_keep_apart(spark, tmp_path):
+    texts = {f"{name}.log": [f"2024-01-0{k} app: {name} took {i * k} ms" for i in range(60 * k)] + ["", f"odd {name}"] for k, name in enumerate("abc", 1)}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    engine = LogEngine(spark, EngineConfig(head_length=1, kernel="gzip"))
+    log = engine.read(str(tmp_path / "*.log")).cache()
+    facts = engine.evaluate(log, str(tmp_path / "archive"))
+    assert facts["score"] == 1.0
+    back = engine.restore(str(tmp_path / "archive")).orderBy("src", "rec_no").collect()
+    assert {name: [r.line for r in back if r.src.endswith(name)] for name in texts} == texts
+    encoded, _, _ = artifacts.read_archive(spark, str(tmp_path / "archive"))
+    assert encoded.filter("scope = 'E'").groupBy("src", "block_id").count().filter("count = 1").count() == 3
+
+
 def test_multi_line_engine(spark, tmp_path):
     text = "[1] a b\n  more\n[2] a c\n[3] a d\n tail"
     (tmp_path / "m.log").write_text(text)
