@@ -21,11 +21,16 @@ def template_counts(lines: DataFrame) -> DataFrame:
 
 
 def merged_templates(lines: DataFrame) -> DataFrame:
-    """(sig, pos, token): of the lines of a signature, a position with one token keeps it, others become wildcards."""
+    """(sig, pos, token): of the lines of a signature, a position with one token keeps it, others become wildcards.
+
+    A token without digits stands in the signature itself, so only those that
+    are wildcards there are compared over the lines.
+    """
     toks = X.match_tokens(F.col("line"))
     tokens = lines.select(F.array_join(X.masked_digits(toks), "").alias("sig"), F.posexplode(toks).alias("pos", "tok"))
-    spread = tokens.groupBy("sig", "pos").agg(F.min("tok").alias("a"), F.max("tok").alias("b"))
-    return spread.select("sig", "pos", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(WILD).alias("token"))
+    spread = tokens.filter(X.has_digit(F.col("tok")) | (F.col("tok") == WILD)).groupBy("sig", "pos").agg(F.min("tok").alias("a"), F.max("tok").alias("b"))
+    found = template_counts(lines).select("sig", F.posexplode(X.match_tokens(F.col("sig"))).alias("pos", "tok"))
+    return found.join(spread, ["sig", "pos"], "left").select("sig", "pos", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("tok")).alias("token"))
 
 
 def templates_of(lines: DataFrame, least_support: int = 1) -> DataFrame:
