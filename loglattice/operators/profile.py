@@ -57,7 +57,7 @@ def dictionary(cols: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def encoding_plan(cols: DataFrame, by: list[str] = KEY, share: float = DISTINCT_SHARE) -> DataFrame:
     """(by, kind): delta, integer, fixed, dictionary or string, in that order of preference."""
     profile = column_profile(cols, by)
-    numeric = cols.join(F.broadcast(profile.filter("is_num").select(*by)), by).withColumn("number", F.col("value").cast("bigint"))
+    numeric = cols.join(profile.filter("is_num").select(*by), by).withColumn("number", F.col("value").cast("bigint"))
     rule = delta_rule(numeric, "number", by).select(*by, "use_delta")
     kind = F.when(F.col("is_num") & F.col("use_delta"), "delta").when(F.col("is_num"), "integer").when(F.col("fixed_length").isNotNull(), "fixed").when(F.col("n_distinct") < share * F.col("n"), "dictionary").otherwise("string")
     return profile.join(rule, by, "left").select(*by, "n", "n_distinct", kind.alias("kind"))

@@ -283,15 +283,15 @@ def delta_recover(spark, d):
 select o_orderkey, i.id::bigint as id from ob join i using (block_id, o_orderpriority)""")
 def dict_encode(spark, d):
     rows = order_column(spark, d).withColumnRenamed("o_orderpriority", "value")
-    return rows.join(F.broadcast(P.dictionary(rows, ["block_id"], ["pos"])), ["block_id", "value"]).select("o_orderkey", "id")
+    return rows.join(P.dictionary(rows, ["block_id"], ["pos"]), ["block_id", "value"]).select("o_orderkey", "id")
 
 
 @query("select o_orderkey, o_orderpriority as value from orders")
 def dict_recover(spark, d):
     rows = order_column(spark, d).withColumnRenamed("o_orderpriority", "value")
     names = P.dictionary(rows, ["block_id"], ["pos"])
-    coded = rows.join(F.broadcast(names), ["block_id", "value"]).select("o_orderkey", "block_id", "id")
-    return coded.join(F.broadcast(names), ["block_id", "id"]).select("o_orderkey", "value")
+    coded = rows.join(names, ["block_id", "value"]).select("o_orderkey", "block_id", "id")
+    return coded.join(names, ["block_id", "id"]).select("o_orderkey", "value")
 
 
 ZIGZAG_SQL = f"{DELTAS_SQL}, zz as (select o_orderkey, coalesce(delta, o_custkey) as v, case when coalesce(delta, o_custkey) >= 0 then 2 * coalesce(delta, o_custkey) else -2 * coalesce(delta, o_custkey) - 1 end as z from od)"
@@ -628,7 +628,7 @@ def stream_template_counts(spark, d):
 
 @query()
 def trained_templates(spark, d):
-    return T.trained_templates(lines(spark, d)).select("eid", "text", "n_tokens", "support")
+    return T.trained_templates(chunk_chosen(lines(spark, d), 0.001, "0")).select("eid", "text", "n_tokens", "support")
 
 
 @query()
