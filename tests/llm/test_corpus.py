@@ -220,6 +220,61 @@ def test_pipeline_stages(spark, tmp_path):
     assert p.run(spark, str(tmp_path)).count() > 0
 
 
+def plain_cut(texts):
+    """The texts without the bytes that repeated strings of 200 bytes cover."""
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(x[i : i + 200] for x in raw for i in range(len(x) - 199))
+    gone = [{k for i in range(len(x) - 199) if count[x[i : i + 200]] > 1 for k in range(i, i + 200)} for x in raw]
+    return [bytes(b for k, b in enumerate(x) if k not in g).decode() for x, g in zip(raw, gone)]
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    import corpus_pipeline as p
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_texts import plain_toxicity
+
+    r = random.Random(21)
+    passage = " ".join(words(r, 70))
+    texts = [" ".join([*words(r, 90), *(["nitwit"] if i % 6 == 0 else [])]) for i in range(60)]
+    texts += [texts[1], texts[2].upper(), texts[3] + " end", texts[7] + " " + passage, passage + " " + texts[8], None, "", "", "Password: hunter22secret " + texts[9][:99], " ".join(words(r, 3000, 9000))]
+    docs = {100 - i: t for i, t in enumerate(texts)}
+    labels = {d: int("nitwit" in (t or "")) for d, t in docs.items() if d > 45}
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in docs.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, k) for d, k in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    scores = plain_toxicity(docs, labels)
+    left = sorted((d, t) for d, t in docs.items() if scores[d] < 0.5)
+    assert 45 < len(left) < 62
+    left = [(d, t) for (d, t), (_, c) in zip(left, brute_components(left, 5, 80)) if c == d]
+    secret = re.compile("(?i)password: hunter22secret")
+    left = {d: secret.sub("[assign]", t) for (d, _), t in zip(left, plain_cut([t for _, t in left]))}
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for d, t in left.items()}
+
+    found = sorted(p.run(spark, str(tmp_path)).collect(), key=lambda x: (x.doc_id, x.piece))
+    assert {x.doc_id for x in found} == set(ids)
+    for d, own in ids.items():
+        parts = [x for x in found if x.doc_id == d]
+        assert [x.start for x in parts] == np.cumsum([0, *[x.length for x in parts[:-1]]]).tolist() and sum(x.length for x in parts) == len(own)
+        assert [x.ids_crc32 for x in parts] == [zlib.crc32(np.array(own[x.start : x.start + x.length], "<u4").tobytes()) for x in parts]
+    held = {}
+    for x in sorted(found, key=lambda x: x.offset):
+        assert x.offset == held.get(x.sequence_id, 0)
+        held[x.sequence_id] = x.offset + x.length
+    assert max(held.values()) <= 2048 and len(held) <= -(-sum(map(len, ids.values())) // 2048) + 1
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("knobs", [{}, {"RANGE_ROWS": 7, "GROUP_RUNS": 2, "SHARD_BYTES": 600, "MAX_BROADCAST_KEYS": 0}, {"SPLIT": 2, "RANGE_ROWS": 50, "GROUP_RUNS": 3, "SEGMENT": 900, "SHARD_BYTES": 1500}])
 def test_repeats_across_shards(spark, knobs, monkeypatch):
     """Many copies in many shards, texts of one repeated character, texts that hashes could mix up; also with tiny shards, ranges and groups."""

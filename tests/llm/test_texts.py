@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -307,6 +308,61 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert toxicity.scored(docs.filter("false"), flat_model).count() == 0
 
 
+def plain_slots(text):
+    """Slots of a text's distinct 3- to 5-grams of code points."""
+    low = [chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""]
+    number = [c.encode()[0] if ord(c) < 128 else int.from_bytes(c.encode().ljust(4, b"\0")) for c in low]
+    out = set()
+    for n in (3, 4, 5):
+        for i in range(len(number) - n + 1):
+            h = 0
+            for x in number[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + x + 1) % 2**64
+            out.add(h * 0xD6E8FEB86659FD93 % 2**64 >> 46)
+    return out
+
+
+def plain_toxicity(docs, labels, least_df=4, least_ratio=1.0):
+    """Scores of the texts by doc_id: n-gram sets, log-count ratios and gradient steps on a full matrix."""
+    learn = sorted(d for d in labels if zlib.crc32(str(d).encode()) % 5)
+    sets = {d: plain_slots(t) for d, t in docs.items()}
+    y = np.array([labels[d] for d in learn])
+    df = {k: Counter(s for d in learn if labels[d] == k for s in sets[d]) for k in (0, 1)}
+    scale = {}
+    for s in df[0] | df[1]:
+        ratio = np.log((df[1][s] + 1) / (y.sum() + 2)) - np.log((df[0][s] + 1) / (len(y) - y.sum() + 2))
+        if df[0][s] + df[1][s] >= least_df and abs(ratio) >= least_ratio:
+            scale[s] = ratio
+    used = sorted(scale)
+    x = np.array([[scale[s] * (s in sets[d]) for s in used] for d in learn])
+    w, v, b, c = np.zeros(len(used)), np.zeros(len(used)), np.log(y.sum() / (len(y) - y.sum())), 0.0
+    rate = 2 / max((x**2).sum(1).mean(), 1.0)
+    for _ in range(300):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y == 1, 6.0, 1.0)
+        v = 0.9 * v - rate * (x.T @ error / len(y) + 0.05 * w / len(y))
+        c = 0.9 * c - 0.5 * error.mean()
+        w, b = w + v, b + c
+    weights = dict(zip(used, w))
+    return {d: 1 / (1 + np.exp(-(b + sum(weights[s] * scale[s] for s in sets[d] if s in weights)))) for d in docs}
+
+
+def test_toxicity_equals_a_plain_classifier(spark):
+    r = random.Random(4)
+    docs = {}
+    for i in range(150):
+        body = [r.choice(["maison é", "日本", "🤦 ok", "Word", "plain", "text", "x", "river"]) for _ in range(r.randrange(12))]
+        docs[i] = " ".join([*body, "nitWIT"] if i % 3 == 0 else body)
+    docs |= {150: None, 151: "", 152: "nitwit " * 400}
+    labels = {i: int(i % 3 == 0) for i in range(150)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    model = toxicity.train(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    want = plain_toxicity(docs, labels)
+    found = {x.doc_id: x for x in toxicity.scored(df, model).collect()}
+    assert found.keys() == want.keys()
+    for d, x in found.items():
+        assert abs(x.score - want[d]) < 1e-4 and x.predicted == (x.score >= 0.5)
+
+
 def test_digests_of_op3_are_sha256_of_base(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
 
