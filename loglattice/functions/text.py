@@ -75,11 +75,27 @@ def number_prefix(value: Column) -> Column:
     return F.regexp_extract(value, "^([0-9]+)", 1).try_cast("bigint") if hasattr(value, "try_cast") else F.regexp_extract(value, "^([0-9]+)", 1).cast("bigint")
 
 
+def literal(text: str) -> str:
+    """A pattern that matches the text itself."""
+    import re
+
+    return re.sub(r"([\\.^$|?*+()\[\]{}/-])", r"\\\1", text)
+
+
+def fits_layout(head: Column, layout: list) -> Column:
+    """Do a header's fields fit a layout's rows (field, part, piece, length): literals as they are, numbers of the given length, of any where that is -1."""
+    out = F.lit(True)
+    for field in sorted({r.field for r in layout}):
+        parts = [("[0-9]+" if r.length < 0 else f"[0-9]{{{r.length}}}") if r.piece == "%d" else literal(r.piece) for r in sorted(layout, key=lambda r: r.part) if r.field == field]
+        out = out & F.coalesce(F.get(header_fields(head), F.lit(field)).rlike(f"^{''.join(parts)}\\z"), F.lit(False))
+    return out
+
+
 def fits_format(value: Column, pattern: str) -> Column:
     """Does a header value fit a format of literals and %d parts."""
     import re
 
-    parts = "".join("[0-9]+" if p == "%d" else re.sub(r"([\\.^$|?*+()\[\]{}/-])", r"\\\1", p) for p in re.split(r"(%d)", pattern))
+    parts = "".join("[0-9]+" if p == "%d" else literal(p) for p in re.split(r"(%d)", pattern))
     return value.rlike(f"^{parts}$")
 
 

@@ -181,7 +181,7 @@ def decoded_columns(encoded: DataFrame) -> DataFrame:
     return encoded.mapInPandas(decode, "src string, block_id long, scope string, eid int, col int, k long, value string")
 
 
-def compressed(lines: DataFrame, templates: DataFrame, head_length: int, kernel: str = "lzma", split: bool = True) -> tuple[DataFrame, DataFrame]:
+def compressed(lines: DataFrame, templates: DataFrame, head_length: int, kernel: str = "lzma", split: bool = True, layout: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables of lines (block_id, rec_no, line and, where there are several sources, src): encoded columns, and failed records (src, block_id, rec_no, raw).
 
     A block belongs to one source; without a src, or where it is null, that is
@@ -189,7 +189,7 @@ def compressed(lines: DataFrame, templates: DataFrame, head_length: int, kernel:
     the log order.
     """
     src = F.coalesce(F.col("src"), F.lit("")) if "src" in lines.columns else F.lit("")
-    parsed = matched(lines.withColumn("src", src), templates, head_length)
+    parsed = matched(lines.withColumn("src", src), templates, head_length, layout)
     ids = parsed.select(*BLOCK, F.lit("E").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("eid").cast("string").alias("value"))
     numbers = parsed.select(*BLOCK, F.lit("N").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("rec_no").cast("string").alias("value"))
     cols = columns_of(parsed, head_length).union(ids).union(numbers)

@@ -32,12 +32,13 @@ def failure(line: Column, content: Column | None = None, n_tokens: Column | None
     return out
 
 
-def matched(lines: DataFrame, templates: DataFrame, head_length: int = 0) -> DataFrame:
+def matched(lines: DataFrame, templates: DataFrame, head_length: int = 0, layout: list | None = None) -> DataFrame:
     """Add head, eid (-1 not loaded, 0 no template), fail_reason, vars to every line.
 
     The templates of the line's token count come by a broadcast hash join, one
     row per line; the first of them that fits is taken from the array, so lines
-    are neither multiplied nor shuffled.
+    are neither multiplied nor shuffled. Headers that don't fit the layout's
+    rows, where one is given, are of the wrong format.
     """
     head = X.head_of(F.col("line"), head_length) if head_length else F.lit("")
     rows = lines.withColumn("head", head)
@@ -45,7 +46,7 @@ def matched(lines: DataFrame, templates: DataFrame, head_length: int = 0) -> Dat
     rows = rows.withColumn("_content", content).withColumn("tokens", X.match_tokens(F.col("_content"))).withColumn("_n", F.size("tokens"))
     bad = failure(F.col("line"), F.col("_content"), F.col("_n"))
     if head_length:
-        bad = F.coalesce(bad, F.when(F.col("head") == "", "wrong_format"))
+        bad = F.coalesce(bad, F.when((F.col("head") == "") | ~X.fits_layout(F.col("head"), layout or []), "wrong_format"))
     joined = rows.withColumn("fail_reason", bad).join(F.broadcast(buckets(templates)), F.col("_n") == F.col("n_tokens"), "left")
     first = F.get(F.filter("bucket", lambda t: fits(t["tokens"], F.col("tokens"))), F.lit(0))
     joined = joined.withColumn("_hit", F.when(F.col("fail_reason").isNull(), first))

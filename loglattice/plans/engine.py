@@ -17,7 +17,7 @@ from loglattice.sources.lines import assemble_records, read_lines
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """head_length: header fields before the message. kernel: lzma, gzip, bzip2, zstd or none. split: try delimiter patterns."""
+    """head_length: header fields before the message. kernel: lzma, gzip, bzip2, zstd or none. split: try delimiter patterns. check_header: lines whose header doesn't fit the inferred layout are kept raw."""
 
     head_length: int = 5
     kernel: str = "lzma"
@@ -31,6 +31,7 @@ class EngineConfig:
     head_regex: str | None = None
     charset: str = "utf-8"
     seed: str = "0"
+    check_header: bool = False
 
 
 class LogEngine:
@@ -59,7 +60,8 @@ class LogEngine:
         return headers.layout(headers.header_values(lines, self.config.head_length))
 
     def compress(self, lines: DataFrame, found: DataFrame, path: str) -> None:
-        encoded, failed = archive.compressed(lines, found, self.config.head_length, self.config.kernel, self.config.split)
+        layout = self.layout(lines).collect() if self.config.check_header and self.config.head_length else None  # a row per part of a header field
+        encoded, failed = archive.compressed(lines, found, self.config.head_length, self.config.kernel, self.config.split, layout)
         artifacts.write_archive(path, encoded, failed, found)
 
     def restore(self, path: str) -> DataFrame:

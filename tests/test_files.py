@@ -39,6 +39,18 @@ def test_sources_keep_apart(spark, tmp_path):
     assert encoded.filter("scope = 'E'").groupBy("src", "block_id").count().filter("count = 1").count() == 3
 
 
+def test_headers_that_do_not_fit_the_layout_are_kept_raw(spark, tmp_path):
+    lines = [f"2024-01-{i % 28 + 1:02d} host{i}: job {i} done" for i in range(200)] + ["2024/01/02 host1: job 5 done", "2024-1-2 host1: job 5 done", "x2024-01-02 host1: job 5 done"]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    for check, raw in ((False, 0), (True, 3)):
+        engine = LogEngine(spark, EngineConfig(head_length=1, kernel="none", check_header=check))
+        log = engine.read(str(tmp_path / "a.log")).cache()
+        engine.compress(log, engine.train(log), str(tmp_path / f"archive{raw}"))
+        _, failed, _ = artifacts.read_archive(spark, str(tmp_path / f"archive{raw}"))
+        assert sorted(r.raw for r in failed.collect()) == sorted(lines[200:] if check else [])
+        assert [r.line for r in engine.restore(str(tmp_path / f"archive{raw}")).orderBy("rec_no").collect()] == lines
+
+
 def test_multi_line_engine(spark, tmp_path):
     text = "[1] a b\n  more\n[2] a c\n[3] a d\n tail"
     (tmp_path / "m.log").write_text(text)
