@@ -1,46 +1,42 @@
 """Columns to encoded blobs and back, and lines restored exactly.
 
-A block's lines are bounded (100,000), so a column of a block is a bounded
-group: it is analysed and encoded in one Arrow-backed function, whatever the
-number of blocks. Kinds: integer, delta, fixed-width digits, dictionary,
-pattern (split in parts that are encoded on their own), string.
+A block's lines are bounded (100,000) and lie together in one task, as Arrow
+tables; its columns are taken from them and analysed and encoded one after the
+other, and restoring decodes a block at once and joins its lines by column.
+Nothing is shuffled but parsed lines on the way there and encoded columns on
+the way back. Kinds: integer, delta, fixed-width digits, dictionary, pattern
+(split in parts that are encoded on their own), string.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions import text as X
 from loglattice.functions.codec import KERNELS, UNPACK, decode_ints, decode_varints, encode_ints, encode_varints
-from loglattice.operators.matcher import filled, matched
+from loglattice.operators.matcher import matched
 from loglattice.operators.profile import DISTINCT_SHARE, string_lcs
+from loglattice.operators.templates import MAX_TEMPLATES, WILD
+from loglattice.sources.scratch import written
 
 LIMIT = 1 << 62
 
 _integer, _digits, _other = re.compile(X.INTEGER), re.compile(X.FIXED_DIGITS), re.compile(X.SIGNATURE_CHARS)
 
 
-def columns_of(parsed: DataFrame, head_length: int) -> DataFrame:
-    """(src, block_id, scope, eid, col, pos, value): header fields H, their separators D, template slots V, of loaded records."""
-    good = parsed.filter("eid > 0")
-    fields = F.transform(X.header_fields(F.col("head")), lambda v, i: F.struct(F.lit("H").alias("scope"), F.lit(0).alias("eid"), i.cast("int").alias("col"), v.alias("value")))
-    seps = F.transform(X.header_separators(F.col("head")), lambda v, i: F.struct(F.lit("D").alias("scope"), F.lit(0).alias("eid"), i.cast("int").alias("col"), v.alias("value")))
-    slots = F.transform("vars", lambda v, i: F.struct(F.lit("V").alias("scope"), F.col("eid").alias("eid"), i.cast("int").alias("col"), v.alias("value")))
-    cells = F.concat(fields, seps, slots) if head_length else slots
-    return good.select("src", "block_id", F.col("rec_no").alias("pos"), F.explode(cells).alias("x")).select("src", "block_id", "x.scope", "x.eid", "x.col", "pos", "x.value")
-
-
 def entropy(values: np.ndarray) -> float:
-    counts = Counter(values.tolist())
-    n = len(values)
-    return -sum(c / n * np.log(c / n) * np.log2(abs(v) + 1) for v, c in counts.items())
+    found, counts = np.unique(values, return_counts=True)
+    share = counts / len(values)
+    return -float(np.sum(share * np.log(share) * np.log2(np.abs(found) + 1.0)))
 
 
 def _blobs(parts: list[bytes]) -> bytes:
@@ -140,17 +136,76 @@ def _decode(m: dict, body: bytes) -> list[str]:
 
 BLOCK = ["src", "block_id"]
 ENCODED = "src string, block_id long, scope string, eid int, col int, n long, raw_bytes long, meta string, payload binary"
-
-
-def encoded_columns(cols: DataFrame, kernel: str = "lzma", split: bool = True, share: float = DISTINCT_SHARE) -> DataFrame:
-    """(src, block_id, scope, eid, col, n, raw_bytes, meta, payload), one row per column of a source's block."""
-
-    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("pos").value.tolist()
-        meta, payload = encode_column(values, split, share, kernel)
-        return pd.DataFrame([(*key, len(values), sum(len(v.encode()) + 1 for v in values), meta, payload)], columns=[*BLOCK, "scope", "eid", "col", "n", "raw_bytes", "meta", "payload"])
-
-    return cols.groupBy(*BLOCK, "scope", "eid", "col").applyInPandas(encode, ENCODED)
+#: Rows of a batch that goes back to Spark.
+SLICE = 10_000
+
+
+def in_blocks(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with those of a block next to each other in one partition, in the given order."""
+    return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, *order)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """((src, block_id), rows) of batches in which a block's rows are next to each other; one block is held at a time."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        src, number = batch["src"].to_pylist(), batch["block_id"].to_pylist()
+        start = 0
+        for end in range(1, batch.num_rows + 1):
+            if end < batch.num_rows and number[end] == number[start] and src[end] == src[start]:
+                continue
+            if held and (src[start], number[start]) != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = (src[start], number[start])
+            held.append(batch.slice(start, end - start))
+            start = end
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def columns_of(rows: pa.Table, head_length: int) -> Iterator[tuple[str, int, int, list[str]]]:
+    """(scope, eid, col, values) of a block's rows: ids E and numbers N of all records; header fields H, their separators D and template slots V of loaded ones."""
+    eid = rows["eid"].to_numpy()
+    yield "E", 0, 0, list(map(str, eid.tolist()))
+    yield "N", 0, 0, list(map(str, rows["rec_no"].to_pylist()))
+    good = np.flatnonzero(eid > 0)
+    if head_length and len(good):
+        heads = rows["head"].take(pa.array(good)).combine_chunks()
+        # a header ends with a separator
+        for scope, pattern, first in (("H", "[ \\t|]+", 0), ("D", "[^ \\t|]+", 1)):
+            parts = pc.split_pattern_regex(heads, pattern)
+            for col in range(head_length):
+                yield scope, 0, col, pc.list_element(parts, col + first).to_pylist()
+    for k in np.unique(eid[good]).tolist():
+        slots = rows["vars"].take(pa.array(np.flatnonzero(eid == k))).combine_chunks()
+        for col in range(len(slots[0])):
+            yield "V", k, col, pc.list_element(slots, col).to_pylist()
+
+
+def encoded_columns(parsed: DataFrame, head_length: int, kernel: str = "lzma", split: bool = True, share: float = DISTINCT_SHARE) -> DataFrame:
+    """(src, block_id, scope, eid, col, n, raw_bytes, meta, payload), one row per column of a source's block; parsed lines have (src, block_id, rec_no, eid, head, vars)."""
+    names = [f.split()[0] for f in ENCODED.split(", ")]
+    kinds = dict(zip(names, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())))
+
+    def encode(batches):
+        done, size = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done), kinds.values())], names=names)
+        for key, rows in blocks(batches):
+            for scope, eid, col, values in columns_of(rows, head_length):
+                meta, payload = encode_column(values, split, share, kernel)
+                done.append((*key, scope, eid, col, len(values), sum(len(v.encode()) + 1 for v in values), meta, payload))
+                size += len(payload)
+                if len(done) >= SLICE or size >= 1 << 23:
+                    yield out()
+                    done, size = [], 0
+        if done:
+            yield out()
+
+    rows = parsed.select(*BLOCK, "rec_no", "eid", F.when(F.col("eid") > 0, F.col("head")).alias("head"), "vars")
+    return in_blocks(rows, "rec_no").mapInArrow(encode, ENCODED)
 
 
 def packed_sizes(encoded: DataFrame, kernels: list[str]) -> DataFrame:
@@ -169,16 +224,39 @@ def packed_sizes(encoded: DataFrame, kernels: list[str]) -> DataFrame:
     return encoded.select("meta", "payload").mapInPandas(pack, "kernel string, bytes long").groupBy("kernel").agg(F.sum("bytes").alias("bytes"))
 
 
-def decoded_columns(encoded: DataFrame) -> DataFrame:
-    """(src, block_id, scope, eid, col, k, value): values by their rank k in the column."""
-
-    def decode(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                values = decode_column(r.meta, bytes(r.payload))
-                yield pd.DataFrame({"src": r.src, "block_id": r.block_id, "scope": r.scope, "eid": r.eid, "col": r.col, "k": range(len(values)), "value": values})
-
-    return encoded.mapInPandas(decode, "src string, block_id long, scope string, eid int, col int, k long, value string")
+def _joined(parts: list) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, pa.scalar(""))
+
+
+def restored_block(columns: pa.Table, templates: dict[int, list[str]]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(rec_no, lines), slice by slice, of a block's loaded records, from its columns."""
+    found = {(r["scope"], r["eid"], r["col"]): decode_column(r["meta"], r["payload"]) for r in columns.to_pylist()}
+    eid, numbers = (np.array(found.pop((scope, 0, 0)), np.int64) for scope in "EN")
+    if len(eid) != len(numbers):
+        raise ValueError("the block's columns differ in length")
+    numbers, eid = numbers[eid > 0], eid[eid > 0]
+    # of each record, its number among those of its template
+    nth = np.zeros(len(eid), np.int64)
+    values = {name: pa.array(v, pa.string()) for name, v in found.items()}
+    for k in np.unique(eid).tolist():
+        if k not in templates:
+            raise ValueError(f"the archive's template {k} is missing")
+        nth[eid == k] = np.arange(int((eid == k).sum()))
+    for start in range(0, len(eid), SLICE):
+        some = slice(start, start + SLICE)
+        heads = [values["HD"[o], 0, col][some] for col in range(sum(s == "H" for s, _, _ in values)) for o in (0, 1)]
+        bodies, places = [], []
+        for k in np.unique(eid[some]).tolist():
+            at = np.flatnonzero(eid[some] == k)
+            own = slice(int(nth[some][at[0]]), int(nth[some][at[-1]]) + 1)
+            parts, col = [pa.array([""] * len(at), pa.string())], 0
+            for token in templates[k]:
+                parts.append(values["V", k, col][own] if token == WILD else pa.scalar(token))
+                col += token == WILD
+            bodies.append(_joined(parts))
+            places.append(at)
+        body = pa.concat_arrays(bodies).take(pa.array(np.argsort(np.concatenate(places))))
+        yield numbers[some], _joined([*heads, body])
 
 
 def compressed(lines: DataFrame, templates: DataFrame, head_length: int, kernel: str = "lzma", split: bool = True, layout: list | None = None) -> tuple[DataFrame, DataFrame]:
@@ -190,24 +268,22 @@ def compressed(lines: DataFrame, templates: DataFrame, head_length: int, kernel:
     """
     src = F.coalesce(F.col("src"), F.lit("")) if "src" in lines.columns else F.lit("")
     parsed = matched(lines.withColumn("src", src), templates, head_length, layout)
-    ids = parsed.select(*BLOCK, F.lit("E").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("eid").cast("string").alias("value"))
-    numbers = parsed.select(*BLOCK, F.lit("N").alias("scope"), F.lit(0).alias("eid"), F.lit(0).alias("col"), F.col("rec_no").alias("pos"), F.col("rec_no").cast("string").alias("value"))
-    cols = columns_of(parsed, head_length).union(ids).union(numbers)
-    failed = parsed.filter("eid <= 0").select(*BLOCK, "rec_no", F.col("line").alias("raw"))
-    return encoded_columns(cols, kernel, split), failed
+    # both tables are made of it
+    parsed = written(parsed.select(*BLOCK, "rec_no", "eid", "head", "vars", F.when(F.col("eid") <= 0, F.col("line")).alias("raw")), "parsed")
+    return encoded_columns(parsed, head_length, kernel, split), parsed.filter("eid <= 0").select(*BLOCK, "rec_no", "raw")
 
 
 def restored(encoded: DataFrame, failed: DataFrame, templates: DataFrame) -> DataFrame:
     """(src, block_id, rec_no, line): columns decoded, records filled from their template and united with the failed ones."""
-    values = decoded_columns(encoded)
-    at = lambda scope, name: values.filter(F.col("scope") == scope).select(*BLOCK, "k", F.col("value").alias(name))
-    records = at("E", "eid").join(at("N", "rec_no"), [*BLOCK, "k"]).select(*BLOCK, F.col("rec_no").cast("long").alias("rec_no"), F.col("eid").cast("int").alias("eid"))
-    good = records.filter("eid > 0")
-    good = good.withColumn("k", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("rec_no")).cast("long") - 1)
-    good = good.withColumn("kv", F.row_number().over(Window.partitionBy(*BLOCK, "eid").orderBy("rec_no")).cast("long") - 1)
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("col", "o", "value"))), lambda x: x["value"])
-    heads = values.filter("scope in ('H', 'D')").withColumn("o", F.when(F.col("scope") == "H", 0).otherwise(1)).groupBy(*BLOCK, "k").agg(F.array_join(ordered("col"), "").alias("head"))
-    slots = values.filter("scope = 'V'").withColumn("o", F.lit(0)).groupBy(*BLOCK, "eid", F.col("k").alias("kv")).agg(ordered("col").alias("vars"))
-    joined = good.join(heads, [*BLOCK, "k"], "left").join(slots, [*BLOCK, "eid", "kv"], "left").join(F.broadcast(templates.select("eid", "tokens")), "eid")
-    line = F.concat(F.coalesce("head", F.lit("")), filled(F.col("tokens"), F.coalesce("vars", F.array().cast("array<string>"))))
-    return joined.select(*BLOCK, "rec_no", line.alias("line")).union(failed.select(*BLOCK, "rec_no", "raw"))
+    known = {r.eid: r.tokens for r in templates.select("eid", "tokens").limit(MAX_TEMPLATES + 1).collect()}
+    if len(known) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+
+    def decode(batches):
+        for (src, block), columns in blocks(batches):
+            for numbers, lines in restored_block(columns, known):
+                yield pa.RecordBatch.from_arrays([pa.array([src] * len(lines), pa.string()), pa.array([block] * len(lines), pa.int64()), pa.array(numbers, pa.int64()), lines], names=[*BLOCK, "rec_no", "line"])
+
+    columns = encoded.select(*BLOCK, "scope", "eid", "col", "meta", "payload")
+    good = in_blocks(columns).mapInArrow(decode, "src string, block_id long, rec_no long, line string")
+    return good.union(failed.select(*BLOCK, "rec_no", "raw"))

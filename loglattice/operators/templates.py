@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions import text as X
+from loglattice.sources.scratch import written
 
 WILD = X.WILDCARD
 MAX_TEMPLATES = 1_000
@@ -20,23 +21,40 @@ def template_counts(lines: DataFrame) -> DataFrame:
     return lines.select(sig.alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
 
 
-def merged_templates(lines: DataFrame) -> DataFrame:
+def wild_tokens(lines: DataFrame) -> DataFrame:
+    """(sig, pos, tok): of every line, an empty token at 0, and counted from 1 the tokens that are wildcards in its signature."""
+    toks = X.match_tokens(F.col("line"))
+    tokens = lines.select(F.array_join(X.masked_digits(toks), "").alias("sig"), F.posexplode(F.concat(F.array(F.lit("")), toks)).alias("pos", "tok"))
+    return tokens.filter((F.col("pos") == 0) | X.has_digit(F.col("tok")) | (F.col("tok") == WILD))
+
+
+def surveyed(lines: DataFrame) -> DataFrame:
+    """(sig, pos, n, a, b), written: counts, and the least and largest hash of the wild tokens; one pass, as longs are summed up without a sort where texts are not."""
+    hashed = F.xxhash64("tok")
+    return written(wild_tokens(lines).groupBy("sig", "pos").agg(F.count("*").alias("n"), F.min(hashed).alias("a"), F.max(hashed).alias("b")), "survey")
+
+
+def merged_templates(lines: DataFrame, survey: DataFrame | None = None) -> DataFrame:
     """(sig, pos, token): of the lines of a signature, a position with one token keeps it, others become wildcards.
 
     A token without digits stands in the signature itself, so only those that
-    are wildcards there are compared over the lines.
+    are wildcards there are compared over the lines: first by hash, and where
+    all hashes agree by the tokens themselves.
     """
-    toks = X.match_tokens(F.col("line"))
-    tokens = lines.select(F.array_join(X.masked_digits(toks), "").alias("sig"), F.posexplode(toks).alias("pos", "tok"))
-    spread = tokens.filter(X.has_digit(F.col("tok")) | (F.col("tok") == WILD)).groupBy("sig", "pos").agg(F.min("tok").alias("a"), F.max("tok").alias("b"))
-    found = template_counts(lines).select("sig", F.posexplode(X.match_tokens(F.col("sig"))).alias("pos", "tok"))
-    return found.join(spread, ["sig", "pos"], "left").select("sig", "pos", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("tok")).alias("token"))
+    survey = surveyed(lines) if survey is None else survey
+    found = survey.filter("pos = 0").select("sig", F.posexplode(X.match_tokens(F.col("sig"))).alias("pos", "token"))
+    alike = survey.filter("pos > 0 and a = b").select("sig", "pos")
+    if alike.isEmpty():
+        return found
+    spread = wild_tokens(lines).join(alike, ["sig", "pos"], "left_semi").groupBy("sig", (F.col("pos") - 1).alias("pos")).agg(F.min("tok").alias("a"), F.max("tok").alias("b"))
+    return found.join(spread, ["sig", "pos"], "left").select("sig", "pos", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("token")).alias("token"))
 
 
 def templates_of(lines: DataFrame, least_support: int = 1) -> DataFrame:
     """(eid, tokens, n_tokens, slots, support, text): merged templates by descending support, ids from 1."""
-    merged = merged_templates(lines).groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
-    counted = merged.join(template_counts(lines), "sig").filter(F.col("n") >= least_support)
+    survey = surveyed(lines)
+    merged = merged_templates(lines, survey).groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    counted = merged.join(survey.filter("pos = 0").select("sig", "n"), "sig").filter(F.col("n") >= least_support)
     return numbered(counted.select("tokens", F.col("n").alias("support")))
 
 
